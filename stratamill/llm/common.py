@@ -36,6 +36,7 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/scratch-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()  # so that shuffle files of the stages behind it go
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratamill.llm import curriculum, exact_dedup, packing, sharding
+from stratamill.llm import curriculum, exact_dedup, packing, sharding, substring_dedup
 from stratamill.llm.common import table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -53,3 +53,9 @@ def op5_heavy_hitters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_jump_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in 40 shards by jump consistent hashing."""
     return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op10_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without windows of 13 words that start in an earlier one."""
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
