@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -17,44 +20,62 @@ from stratamill.llm.common import materialize, running
 PIECES = T.StructType([T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())])
 
 
-class Encoder:
-    """Ids of texts as bytes. Merges never cross white space, so each distinct word is encoded once while it is held."""
+#: Words of printable ASCII and of Latin letters that case folding and composition treat one by one.
+_LATIN = re.compile("[!-~\u00c0-\u012f\u0131-\u017f]+")
+#: The vocabulary's own pattern of parts of a word, for such words in lower case.
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|[^a-z\u00df-\u00f6\u00f8-\u017f0-9]+")
+#: Characters that stand for the bytes in the vocabulary: printable Latin-1 ones themselves, the others from 256 on.
+_SEEN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
+_STANDS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SEEN)}
 
-    held: dict[tuple[str, int], Encoder] = {}
 
-    def __init__(self, path: str, words: int):
-        import os
+class Encoder(dict):
+    """Ids of words as bytes. Merges never cross white space, so each distinct word is encoded once while it is held.
 
+    Latin words go to the merges directly; all others, and any that may hold a special token, through the whole
+    tokenizer.
+    """
+
+    held: dict[str, Encoder] = {}
+
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.words, self.known = Tokenizer.from_file(path), words, {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.merge = self.tokenizer.model.tokenize
 
     @classmethod
-    def of(cls, path: str, words: int) -> Encoder:
-        return cls.held.get((path, words)) or cls.held.setdefault((path, words), cls(path, words))
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        for i in range(0, len(texts), 256):
-            split = [t.split() for t in texts[i : i + 256]]
-            if len(self.known) > self.words:
-                self.known.clear()
-            new = list(set().union(*split).difference(self.known)) if split else []
-            if new:
-                self.known.update(zip(new, self.ids(new)))
-            known = self.known
-            for t, s in zip(texts[i : i + 256], split):
-                # these four part words for str.split(), but aren't white space to the tokenizer
-                if "\x1c" in t or "\x1d" in t or "\x1e" in t or "\x1f" in t:
-                    yield self.ids([t])[0]
-                else:
-                    yield b"".join([known[w] for w in s])
-
-
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 0, id_col: str = "doc_id", text_col: str = "text", words: int = 600_000) -> DataFrame:
+    def of(cls, path: str) -> Encoder:
+        return cls.held.get(path) or cls.held.setdefault(path, cls(path))
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        if _LATIN.fullmatch(word) and "<|" not in word:
+            ids, parts = b"", _PARTS.findall(word.lower())
+            for x in parts:
+                if len(parts) > 1 and x in self:
+                    ids += self[x]
+                    continue
+                seen = x if x.isascii() else x.encode().decode("latin-1").translate(_STANDS)
+                ids += array("I", [t.id for t in self.merge(seen)]).tobytes()
+        else:
+            ids = self.whole(word)
+        self[word] = ids
+        return ids
+
+    def encode(self, text: str, words: int) -> bytes:
+        if len(self) > words:
+            self.clear()
+        # these four part words for str.split(), but aren't white space to the tokenizer
+        if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
+            return self.whole(text)
+        return b"".join(map(self.__getitem__, text.split()))
+
+
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 0, id_col: str = "doc_id", text_col: str = "text", words: int = 1_500_000) -> DataFrame:
     """(id, piece, start, length, ids_crc32): each document's ids and the end id, cut every capacity ids.
 
     A null or empty text is the end id alone. words: most distinct words whose ids a worker holds.
@@ -62,12 +83,11 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 0,
     last = np.asarray([end], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.of(tokenizer, words)
+        encoder = Encoder.of(tokenizer)
         for batch in batches:
             rows: list[tuple[int, int, int, int, int]] = []
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for r, ids in enumerate(encoder.encode(texts)):
-                ids += last
+            for r, text in enumerate(batch.column(1).to_pylist()):
+                ids = encoder.encode(text or "", words) + last
                 for p, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append((r, p, at // 4, len(part) // 4, zlib.crc32(part)))

@@ -3,10 +3,10 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from stratamill.llm.packing import best_fit, pack, pieces
+from stratamill.llm.packing import Encoder, best_fit, pack, pieces
 
 tokenizers = pytest.importorskip("tokenizers")
 public = pytest.importorskip("public_tokenizers")
@@ -26,6 +26,18 @@ def test_as_few_as_best_fit_one_by_one(counts):
     assert opened == len(gaps)
 
 
+@settings(deadline=None, max_examples=400)
+@given(st.lists(st.text(st.one_of(st.characters(min_codepoint=1, max_codepoint=0x250), st.characters(), st.sampled_from("'sStdrevml <|>.é́ß"))), max_size=8))
+def test_words_have_the_tokenizers_ids(words):
+    path, text = public.path("word_bpe_49k.json"), " ".join(words)
+    try:
+        text.encode()
+    except UnicodeEncodeError:
+        return
+    ids = Encoder.of(path).tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(Encoder.of(path).encode(text, 100), "<u4").tolist() == ids
+
+
 def test_whole_texts_in_gapless_sequences(odd, docs):
     path = public.path("word_bpe_49k.json")
     t = tokenizers.Tokenizer.from_file(path)
