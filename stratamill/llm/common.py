@@ -15,6 +15,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Most rows of a table that may be broadcast.
 BROADCAST_ROWS = 100_000
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: dict[str, str] = {}
 
 
@@ -34,10 +35,15 @@ def materialize(df: DataFrame) -> DataFrame:
 
     Numbers dealt by row order, such as spark_partition_id(), are fixed from here on.
     """
-    path = f"{shared_dir(df.sparkSession)}/scratch-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    df.sparkSession.sparkContext._jvm.System.gc()  # so that shuffle files of the stages behind it go
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")  # once the table is written, the shuffle files behind it are of no use
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
