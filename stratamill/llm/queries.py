@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratamill.llm import curriculum, exact_dedup, packing, sharding, substring_dedup
+from stratamill.llm import curriculum, exact_dedup, ngram_join, packing, sharding, substring_dedup
 from stratamill.llm.common import table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -59,3 +59,9 @@ def op6_jump_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of each document without windows of 13 words that start in an earlier one."""
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op7_grouped_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of four-word shingles have a Jaccard similarity of 0.85 or more."""
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
