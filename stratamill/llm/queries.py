@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratamill.llm import curriculum, exact_dedup, ngram_join, packing, sharding, substring_dedup
+from stratamill.llm import curriculum, exact_dedup, language_id, ngram_join, packing, sharding, substring_dedup
 from stratamill.llm.common import table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -65,3 +65,9 @@ def op10_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_grouped_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of four-word shingles have a Jaccard similarity of 0.85 or more."""
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op9_output_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of each document by error-correcting output codes."""
+    return language_id.identify(table(spark, sf_dir, "documents"))
