@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratamill.llm import curriculum, exact_dedup, language_id, ngram_join, packing, sharding, substring_dedup
+from stratamill.llm import curriculum, exact_dedup, language_id, ngram_join, packing, sharding, substring_dedup, vector_join
 from stratamill.llm.common import table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -71,3 +71,9 @@ def op7_grouped_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_output_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of each document by error-correcting output codes."""
     return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op3_grid_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links between vectors of a label with a cosine of 0.98 or more."""
+    return vector_join.vector_join(table(spark, sf_dir, "embeddings"))
