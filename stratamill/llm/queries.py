@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stratamill.llm import curriculum, exact_dedup, language_id, ngram_join, packing, sharding, substring_dedup, vector_join
+from stratamill.llm import curriculum, exact_dedup, html_extract, language_id, line_templates, ngram_join, packing, sharding, substring_dedup, vector_join
 from stratamill.llm.common import table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -77,3 +78,32 @@ def op9_output_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_grid_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links between vectors of a label with a cosine of 0.98 or more."""
     return vector_join.vector_join(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op1_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of each page by its site's style tree."""
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+@query(r"""
+WITH raw AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, i, line, list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), x -> CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS w FROM raw),
+k AS (SELECT doc_id, i, w, len(w) AS n, w[1:2] AS head FROM l WHERE len(w) > 0),
+leaf AS (SELECT n, head FROM k GROUP BY ALL HAVING count(DISTINCT doc_id) >= 10),
+near AS (SELECT k.* FROM k JOIN leaf USING (n, head)),
+cell AS (SELECT n, head, pos, w[pos] AS token, count(*) AS c FROM (SELECT n, head, w, unnest(range(1, n + 1)) AS pos FROM near) GROUP BY ALL),
+top AS (SELECT n, head, pos, token FROM cell QUALIFY row_number() OVER (PARTITION BY n, head, pos ORDER BY c DESC, token DESC) = 1),
+template AS (SELECT n, head, list(token ORDER BY pos) AS t FROM top GROUP BY ALL),
+follows AS (SELECT n, head, doc_id, i FROM near JOIN template USING (n, head) WHERE 100 * len(list_filter(range(1, n + 1), p -> w[p] = t[p])) >= 60 * n),
+recurring AS (SELECT n, head FROM follows GROUP BY ALL HAVING count(DISTINCT doc_id) >= 10),
+gone AS (SELECT DISTINCT doc_id, i FROM follows JOIN recurring USING (n, head)),
+per AS (SELECT raw.doc_id, count(*) FILTER (WHERE regexp_matches(line, '[^\x20\x09-\x0D]')) AS n_lines, count(gone.i) AS n_dropped,
+        coalesce(string_agg(line, chr(10) ORDER BY raw.i) FILTER (WHERE gone.i IS NULL), '') AS kept
+        FROM raw LEFT JOIN gone ON raw.doc_id = gone.doc_id AND raw.i = gone.i GROUP BY 1)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents d LEFT JOIN per USING (doc_id)
+""")
+def op8_log_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of each document that follow a template that recurs across documents, and what is left without them."""
+    found = line_templates.line_templates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
