@@ -99,12 +99,12 @@ def components(edges: DataFrame) -> DataFrame:
     return found.union(now.select(F.col("b").alias("id"), F.col("b").alias("component_id")).distinct())
 
 
-def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs whose id is in kept, one row for each such id (null is an id too)."""
-    ids = materialize(kept.select(id_col).distinct())
-    odd = materialize(docs.groupBy(id_col).agg(F.count("*").alias("_n")).filter(F.col("_n").gt(1) | F.col(id_col).isNull()).select(id_col))
+def keep_rows(docs: DataFrame, kept: DataFrame, on: Sequence[str]) -> DataFrame:
+    """The rows of docs whose values of on are in kept, one row for each (null is a value too)."""
+    ids = materialize(kept.select(*on).distinct())
+    odd = materialize(docs.groupBy(*on).agg(F.count("*").alias("_n")).filter("_n > 1").select(*on))
     if odd.isEmpty():
-        return docs.join(ids, id_col, "left_semi")
-    plain = docs.join(ids, id_col, "left_semi").join(odd, id_col, "left_anti")
-    rest = null_safe(docs, odd.join(ids, odd[id_col].eqNullSafe(ids[id_col]), "left_semi"), [id_col])
-    return plain.unionByName(rest.dropDuplicates([id_col]))
+        return null_safe(docs, ids, on)
+    again = null_safe(ids, odd, on)
+    once = ids.exceptAll(again)
+    return null_safe(docs, once, on).unionByName(null_safe(docs, again, on).dropDuplicates(list(on)))

@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratamill.llm.common import SPACE, materialize
+from stratamill.llm.common import SPACE, keep_rows, materialize
+
+
+def text_sha256(text_col: str) -> Column:
+    """SHA-256, in lower hex, of a text with each run of white space as one space; null as empty."""
+    return F.sha2(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), f"{SPACE}+", " "), 256).alias("text_sha256")
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that stay, with docs' own columns."""
+    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col(id_col), F.col("text_sha256").alias("_sha256"))
+    tagged = docs.withColumn("_sha256", text_sha256(text_col))
+    return keep_rows(tagged, kept, [id_col, "_sha256"]).select(*docs.columns)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = 1e-3) -> DataFrame:
@@ -19,8 +31,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     that their rows are settled where they are read. All other digests, each below that share, are shuffled.
     Texts never move: only id, digest and row number do. An empty table gives no rows.
     """
-    normal = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), f"{SPACE}+", " ")
-    rows = materialize(docs.select(F.col(id_col), F.sha2(normal, 256).alias("text_sha256"), F.monotonically_increasing_id().alias("_row")))
+    rows = materialize(docs.select(F.col(id_col), text_sha256(text_col), F.monotonically_increasing_id().alias("_row")))
     winner = F.min(F.struct(F.isnull(id_col).alias("none"), F.col(id_col).alias("keep_id"), F.col("_row").alias("row"))).alias("_keep")
     frequent = rows.stat.freqItems(["text_sha256"], support).select(F.explode("text_sha256_freqItems").alias("text_sha256"))
     share = rows.count() * support
