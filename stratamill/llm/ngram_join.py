@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratamill.llm import words as W
-from stratamill.llm.common import components, materialize, running, small
+from stratamill.llm.common import components, materialize, running
 
 #: Counters of the shingle sketch (2 bytes each), whatever the corpus; and the slices in which they are summed.
 SKETCH, SLICES = 1 << 20, 16
@@ -203,33 +203,31 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "do
     sides = both.withColumn("block", F.explode(F.array_distinct(F.array("p", "q"))))
     tasks = units.join(sides, ["unit", "block"]).select("unit", "p", "q", "id")
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, sets = [], []
-            for r, s in shingle_sets(batch.column(1), k):
-                ids.append(r)
-                sets.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(sets, pa.binary())], names=["id", "shingles"])
-
-    wanted = small(materialize(units.select(F.col("id").alias(id_col)).distinct()))
-    sets = docs.select(id_col, text_col).join(wanted, id_col, "left_semi").mapInArrow(whole, "id long, shingles binary")
-    exact = sets.withColumn("set_key", F.xxhash64("shingles")).dropDuplicates(["id", "set_key"]).drop("set_key")
+    # texts are shorter than their sets, so they are what is sent to the blocks
+    texts = once(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
 
     def verify(frame: pd.DataFrame) -> pd.DataFrame:
         ids = frame["id"].to_numpy()
-        sets = [np.frombuffer(x, np.uint64) for x in frame["shingles"]]
+        sets = [s for _, s in shingle_sets(pa.array(frame["text"], pa.string()), k)]
         common, n = overlaps(sets), np.array([len(s) for s in sets])
         linked = 100 * common >= percent * (n[:, None] + n[None, :] - common)
         np.fill_diagonal(linked, False)
         return pd.DataFrame([(int(ids[x]), int(ids[y])) for x, y in forest(linked)], columns=["a", "b"], dtype=np.int64)
 
-    edges = tasks.join(exact, "id").groupBy("unit", "p", "q").applyInPandas(verify, "a long, b long")
+    edges = tasks.join(texts, "id").groupBy("unit", "p", "q").applyInPandas(verify, "a long, b long")
     reach = components(edges)
     found = classes.join(reach, "id", "left").select("n_shingles", "set_key", F.coalesce("component_id", "id").alias("component_id"))
     out = rows.select(id_col, "n_shingles", "set_key").join(found, ["n_shingles", "set_key"], "left")
     return out.select(id_col, "n_shingles", F.coalesce("component_id", F.col(id_col)).alias("component_id"))
 
 
+def once(rows: DataFrame) -> DataFrame:
+    """rows (id, text) without rows that are repeated; they are only sought where an id occurs again."""
+    if rows.groupBy("id").count().filter("count > 1 AND id IS NOT NULL").isEmpty():
+        return rows
+    return rows.dropDuplicates(["id", "text"])
+
+
 def close(held: list[tuple[int, int]], leader, percent: int) -> list[tuple[int, int, int, int]]:
     """All pairs of the few groups of a token whose sizes allow a link."""
     if leader is not None or len(held) < 2:
