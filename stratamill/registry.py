@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratamill.plans import aggregates
+from stratamill.plans import aggregates, series
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (aggregates,)
+MODULES = (aggregates, series)
 
 
 def queries() -> dict[str, Query]:
