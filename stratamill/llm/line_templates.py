@@ -23,12 +23,13 @@ def line_templates(docs: DataFrame, depth: int = 2, share: int = 60, min_docs: i
     """
     text = F.col(text_col)
     lines = docs.filter(text.isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), F.posexplode(F.split(text, "\n")).alias("line", "raw"))
-    token = F.transform(F.filter(F.split("raw", f"{SPACE}+"), lambda x: x != ""), lambda x: F.when(x.rlike("[0-9]"), FIELD).otherwise(x))
-    lines = lines.withColumn("w", token).filter("size(w) > 0")
-    leaf = F.xxhash64(F.size("w"), F.slice("w", 1, depth))
+    # tokens are only looked into where a leaf or a template needs it
+    fields = lambda w: F.transform(w, lambda x: F.when(x.rlike("[0-9]"), FIELD).otherwise(x))
+    lines = lines.withColumn("w", F.array_remove(F.split("raw", f"{SPACE}+"), "")).filter("size(w) > 0")
+    leaf = F.xxhash64(F.size("w"), fields(F.slice("w", 1, depth)))
     leaves = lines.select(leaf.alias("leaf"), "id").distinct().groupBy("leaf").agg(F.count("*").alias("docs")).filter(F.col("docs") >= min_docs)
     leaves = small(materialize(leaves.select("leaf")))
-    near = materialize(lines.withColumn("leaf", leaf).join(leaves, "leaf").select("leaf", "id", "key", "line", "w"))
+    near = materialize(lines.withColumn("leaf", leaf).join(leaves, "leaf").select("leaf", "id", "key", "line", fields(F.col("w")).alias("w")))
     cells = near.select("leaf", F.posexplode("w").alias("at", "token")).groupBy("leaf", "at", "token").agg(F.count("*").alias("n"))
     common = cells.groupBy("leaf", "at").agg(F.max(F.struct("n", "token"))["token"].alias("token"))
     template = common.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("at", "token")))["token"].alias("template"))
