@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratamill.plans import aggregates, series
+from stratamill.plans import aggregates, scores, series, texts, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (aggregates, series)
+MODULES = (aggregates, series, texts, vectors, scores)
 
 
 def queries() -> dict[str, Query]:
