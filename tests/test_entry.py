@@ -10,7 +10,9 @@ SF = "/root/testdata/sf0.001"
 
 
 def rows(frame):
-    return sorted(tuple(None if x is None or x != x else round(x, 5) if isinstance(x, float) else str(x) for x in r) for r in frame[sorted(frame.columns)].astype(object).itertuples(index=False))
+    plain = lambda x: None if x is None or x != x else round(x, 5) if isinstance(x, float) else str(x)
+    found = (tuple(map(plain, r)) for r in frame[sorted(frame.columns)].astype(object).itertuples(index=False))
+    return sorted(found, key=lambda r: [(x is None, 0 if x is None else x) for x in r])
 
 
 @pytest.mark.parametrize("name", sorted(registry.queries()))
