@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratamill.plans import aggregates, paths, scores, series, texts, vectors
+from stratamill.plans import aggregates, paths, retrieval, scores, series, texts, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (aggregates, series, texts, vectors, scores, paths)
+MODULES = (aggregates, series, texts, vectors, scores, paths, retrieval)
 
 
 def queries() -> dict[str, Query]:
