@@ -111,6 +111,37 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def parity(s: np.ndarray) -> bytes:
+    """Bitmap with a bit for each class of hashes, by their low bits, that holds an odd number of them: at least a bit a hash."""
+    size = max(64, 1 << (len(s) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def folded(bits: bytes, size: int) -> np.ndarray:
+    """A bitmap as size bits in 64-bit words: halves are added until it is as short."""
+    words = np.frombuffer(bits, np.uint64)
+    while len(words) * 64 > size:
+        words = words[: len(words) // 2] ^ words[len(words) // 2 :]
+    return words
+
+
+def may_link(n: np.ndarray, bits: list[bytes], percent: int) -> np.ndarray:
+    """Which pairs of sets, by rising size n, can be linked: a bit that differs is a shingle that only one of them has."""
+    m = len(n)
+    out = np.zeros((m, m), bool)
+    ends = np.searchsorted(n, n * 100 // percent, "right")
+    sizes = np.array([len(b) * 8 for b in bits])
+    for size in np.unique(sizes):
+        first, after = np.searchsorted(sizes, [size, size + 1])
+        held = np.stack([folded(b, size) for b in bits[first : ends[after - 1]]])
+        for i in range(first, after):
+            total = n[i] + n[i + 1 : ends[i]]
+            differ = np.bitwise_count(held[i + 1 - first : ends[i] - first] ^ held[i - first]).sum(axis=1, dtype=np.int64)
+            out[i, i + 1 : ends[i]] = (total - differ) // 2 * (100 + percent) >= percent * total
+    return out | out.T
+
+
 def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id for each row of docs.
 
@@ -125,8 +156,10 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "do
     2. Groups that meet at a prefix shingle are paired where it is in few groups, and a pair is kept only if the
        shingles shared allow the overlap asked for. Where a shingle is in many groups, they join the star of the
        least, without pairs.
-    3. Groups of several classes, kept pairs and stars are expanded to classes and verified on whole sets, in blocks
-       of bounded size; only edges that span each block's components leave it.
+    3. Groups of several classes, kept pairs and stars are expanded to classes, in blocks of bounded size. There,
+       bitmaps of a bit a shingle bound the overlaps, and classes without a possible partner leave.
+    4. What is left is verified on whole sets, each cluster of a block once however many blocks have it; only edges
+       that span its components leave it.
     """
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(np.log2(sketch(docs, text_col, k).astype(float) + 1).astype(np.uint64))
@@ -134,24 +167,25 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "do
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = sent.value
         for batch in batches:
-            n, key, prefix = [], [], []
+            n, key, bits, prefix = [], [], [], []
             for _, s in shingle_sets(batch.column(1), k):
                 first = len(s) + (percent * len(s) // -100) + 1 if len(s) else 0
                 n.append(len(s))
                 key.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                bits.append(parity(s) if len(s) else b"")
                 order = (rank[(s >> np.uint64(44)).astype(np.int64)] << np.uint64(59)) | (s >> np.uint64(5))
                 prefix.append(s[np.argsort(order, kind="stable")[:first]].view(np.int64))
             at = np.cumsum([0, *map(len, prefix)])
             lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *prefix])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), lists], names=[id_col, "n_shingles", "set_key", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(bits, pa.binary()), lists], names=[id_col, "n_shingles", "set_key", "bits", "prefix"])
 
-    rows = materialize(docs.select(id_col, text_col).mapInArrow(prefixes, f"{id_col} long, n_shingles long, set_key binary, prefix array<long>"))
+    rows = materialize(docs.select(id_col, text_col).mapInArrow(prefixes, f"{id_col} long, n_shingles long, set_key binary, bits binary, prefix array<long>"))
     classes = rows.filter(f"n_shingles > 0 AND {id_col} IS NOT NULL").groupBy("n_shingles", "set_key").agg(F.min(id_col).alias("id"))
     classes = materialize(classes)
     lead = rows.join(classes.select("set_key", "n_shingles", F.col("id").alias(id_col)), ["set_key", "n_shingles", id_col], "left_semi").dropDuplicates([id_col, "set_key"])
-    lead = materialize(lead.select(F.col(id_col).alias("id"), F.col("n_shingles").alias("n"), "prefix", F.sha2(F.array_join(F.col("prefix").cast("array<string>"), ","), 256).alias("group_key")))
+    lead = materialize(lead.select(F.col(id_col).alias("id"), F.col("n_shingles").alias("n"), "bits", "prefix", F.sha2(F.array_join(F.col("prefix").cast("array<string>"), ","), 256).alias("group_key")))
     groups = lead.groupBy("n", "group_key").agg(F.min("id").alias("gid"), F.count("*").alias("members"))
-    members = materialize(lead.select("id", "n", "group_key").join(groups, ["n", "group_key"]).select("gid", "id", "n", "members"))
+    members = materialize(lead.select("id", "n", "bits", "group_key").join(groups, ["n", "group_key"]).select("gid", "id", "n", "bits", "members"))
     tokens = lead.join(members.filter("id = gid").select("id"), "id", "left_semi").select(F.explode("prefix").alias("token"), F.col("id").alias("gid"), "n")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,16 +228,34 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "do
     stars = met.filter("star").select(F.col("a").alias("unit"), F.col("b").alias("gid"))
     units = pairs.union(pairs.select("unit", F.col("unit").alias("gid"))).union(stars)
     units = units.union(members.filter("members > 1 AND id = gid").select(F.col("gid").alias("unit"), "gid")).distinct()
-    units = materialize(units.join(members.select("gid", "id", "n"), "gid").select("unit", "id", "n"))
-    units = running(units, ["unit"], ["n", "id"], F.greatest("n", F.lit(LEAST)), "_c").select("unit", "id", "n", F.floor(F.col("_c") / BLOCK).alias("block"))
+    units = materialize(units.join(members.select("gid", "id", "n", "bits"), "gid").select("unit", "id", "n", "bits"))
+    units = running(units, ["unit"], ["n", "id"], F.greatest("n", F.lit(LEAST)), "_c").select("unit", "id", "n", "bits", F.floor(F.col("_c") / BLOCK).alias("block"))
     units = materialize(units)
     blocks = materialize(units.groupBy("unit", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi")))
     other = blocks.select("unit", F.col("block").alias("block_b"), F.col("lo").alias("lo_b"))
     both = blocks.join(other, "unit").filter((F.col("block") <= F.col("block_b")) & (100 * F.col("hi") >= percent * F.col("lo_b"))).select("unit", F.col("block").alias("p"), F.col("block_b").alias("q"))
     sides = both.withColumn("block", F.explode(F.array_distinct(F.array("p", "q"))))
-    tasks = units.join(sides, ["unit", "block"]).select("unit", "p", "q", "id")
-
-    # texts are shorter than their sets, so they are what is sent to the blocks
+    tasks = units.join(sides, ["unit", "block"]).select("unit", "p", "q", "id", "n", "bits")
+
+    def clusters(frame: pd.DataFrame) -> pd.DataFrame:
+        """The classes of a block that may have a partner there, by the cluster they may lie in."""
+        frame = frame.sort_values("n", kind="stable")
+        near = forest(may_link(frame["n"].to_numpy(), frame["bits"].tolist(), percent))
+        ids, lies = frame["id"].to_numpy(), {}
+        for x, y in near:  # a cluster's edges follow each other, each from a node met before
+            lies.setdefault(x, [x])
+            lies[x].append(y)
+            lies[y] = lies[x]
+        out = []
+        for c in {id(c): c for c in lies.values()}.values():
+            own = np.sort(ids[c])
+            key = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
+            out += [(key, int(x)) for x in own]
+        return pd.DataFrame(out, columns=["cluster", "id"]).astype({"id": np.int64})
+
+    left = materialize(tasks.groupBy("unit", "p", "q").applyInPandas(clusters, "cluster binary, id long").distinct())
+
+    # texts are shorter than their sets, so they are what is sent to the clusters
     texts = once(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
 
     def verify(frame: pd.DataFrame) -> pd.DataFrame:
@@ -214,7 +266,7 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "do
         np.fill_diagonal(linked, False)
         return pd.DataFrame([(int(ids[x]), int(ids[y])) for x, y in forest(linked)], columns=["a", "b"], dtype=np.int64)
 
-    edges = tasks.join(texts, "id").groupBy("unit", "p", "q").applyInPandas(verify, "a long, b long")
+    edges = left.join(texts, "id").groupBy("cluster").applyInPandas(verify, "a long, b long")
     reach = components(edges)
     found = classes.join(reach, "id", "left").select("n_shingles", "set_key", F.coalesce("component_id", "id").alias("component_id"))
     out = rows.select(id_col, "n_shingles", "set_key").join(found, ["n_shingles", "set_key"], "left")

@@ -7,7 +7,7 @@ import pytest
 
 from stratamill.llm import ngram_join as module
 from stratamill.llm.common import components
-from stratamill.llm.ngram_join import forest, ngram_join, overlaps
+from stratamill.llm.ngram_join import forest, may_link, ngram_join, overlaps, parity
 
 
 def shingles(text, k):
@@ -60,6 +60,21 @@ def test_overlaps_and_forest():
     assert sorted(forest(linked)) == [(0, 2), (2, 5)]
 
 
+def test_bitmaps_lose_no_link():
+    rng = np.random.default_rng(2)
+    sets = []
+    for n in (1, 3, 60, 64, 70, 120, 135, 900):
+        base = rng.integers(0, 1 << 63, n, np.uint64)
+        sets += [np.unique(np.append(base[rng.random(n) > drop], rng.integers(0, 1 << 63, n // 20, np.uint64))) for drop in (0, 0.05, 0.1, 0.4)]
+    sets = sorted((s for s in sets if len(s)), key=len)
+    n = np.array([len(s) for s in sets])
+    may = may_link(n, [parity(s) for s in sets], 85)
+    common = overlaps(sets)
+    linked = 100 * common >= 85 * (n[:, None] + n[None, :] - common)
+    np.fill_diagonal(linked, False)
+    assert not (linked & ~may).any() and linked.sum() <= may.sum() < 3 * linked.sum()
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.range(40).selectExpr("(id * 17) % 41 AS a", "((id + 1) * 17) % 41 AS b")
     assert {tuple(r) for r in components(edges).collect()} == {(i, 0) for i in range(41)}
