@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratamill.plans import aggregates, fits, paths, retrieval, scores, series, spatial, streams, texts, vectors
+from stratamill.plans import aggregates, fits, kernels, paths, retrieval, scores, series, spatial, streams, texts, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (aggregates, series, texts, vectors, scores, paths, retrieval, spatial, fits, streams)
+MODULES = (aggregates, series, texts, vectors, scores, paths, retrieval, spatial, fits, streams, kernels)
 
 
 def queries() -> dict[str, Query]:
