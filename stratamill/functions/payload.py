@@ -28,3 +28,11 @@ def parse_label(text: Column) -> Column:
     only = F.when(F.size(hits) == 1, hits[0]).otherwise("INVALID")
     whole = F.try_parse_json(F.nullif(found, F.lit(""))).isNotNull()
     return F.when(whole, F.when(named.isin(*LABELS), named).otherwise("INVALID")).otherwise(only)
+
+
+def round_trip(forward: Column, back: Column) -> list[Column]:
+    """closed and mode: both ends entail each other, content is dropped, added or inverted, or nothing relates them."""
+    there, home = forward == "entailment", back == "entailment"
+    flipped = (forward == "contradiction") | (back == "contradiction")
+    mode = F.when(there & home, "closed").when(there, "dropped").when(home, "added").when(flipped, "inverted").otherwise("unrelated")
+    return [(there & home).alias("closed"), mode.alias("mode")]

@@ -127,3 +127,49 @@ def a41_stability_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     gains = sse(spark, sf_dir).groupBy("fold", "repeat").agg((rmse("base_sse") - rmse("cand_sse")).alias("gain"))
     low, high = F.min("gain"), F.max("gain")
     return gains.groupBy("fold").agg(F.round(low, 6).alias("low"), F.round(high, 6).alias("high"), ((low < 0) & (high > 0)).alias("flips"))
+
+
+@query("""SELECT label, round(CASE WHEN a < 0 THEN a + 180 ELSE a END, 5) AS azimuth FROM (
+SELECT label, degrees(atan2(2 * covar_pop(embedding[1]::DOUBLE, embedding[2]::DOUBLE), var_pop(embedding[1]::DOUBLE) - var_pop(embedding[2]::DOUBLE))) / 2 AS a FROM embeddings GROUP BY 1)""")
+def g22_section_azimuth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Direction of the principal axis of each label's points, from north in degrees, in closed form."""
+    north, east = (F.col("embedding")[i].cast("double") for i in (0, 1))
+    angle = F.degrees(F.atan2(2 * F.covar_pop(north, east), F.var_pop(north) - F.var_pop(east))) / 2
+    found = table(spark, sf_dir, "embeddings").groupBy("label").agg(angle.alias("a"))
+    return found.select("label", F.round(F.when(F.col("a") < 0, F.col("a") + 180).otherwise(F.col("a")), 5).alias("azimuth"))
+
+
+@query("""SELECT doc_id, forward = 'entailment' AND back = 'entailment' AS closed, CASE WHEN forward = 'entailment' AND back = 'entailment' THEN 'closed' WHEN forward = 'entailment' THEN 'dropped'
+WHEN back = 'entailment' THEN 'added' WHEN 'contradiction' IN (forward, back) THEN 'inverted' ELSE 'unrelated' END AS mode FROM (
+SELECT doc_id, (['entailment', 'neutral', 'contradiction'])[doc_id % 3 + 1] AS forward, (['entailment', 'neutral', 'contradiction'])[doc_id // 3 % 3 + 1] AS back FROM documents)""")
+def f21_round_trip_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a round trip did to a text, from what its two ends entail."""
+    label = lambda i: F.element_at(F.array(*map(F.lit, payload.LABELS)), (i % 3 + 1).cast("int"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", label(F.col("doc_id")).alias("forward"), label(F.floor(F.col("doc_id") / 3)).alias("back"))
+    return rows.select("doc_id", *payload.round_trip(F.col("forward"), F.col("back")))
+
+
+#: Groups that may be dealt to folds on the driver.
+GROUPS = 100_000
+
+
+def group_folds(rows: DataFrame, group: str, folds: int = 5) -> DataFrame:
+    """group, size, fold: the largest group first, each into the fold that is smallest so far; ties by group and by fold.
+
+    Raises ValueError beyond GROUPS groups, as sizes are dealt on the driver.
+    """
+    sizes = rows.groupBy(group).agg(F.count("*").alias("size")).orderBy(F.desc("size"), F.asc_nulls_last(group)).limit(GROUPS + 1).collect()
+    if len(sizes) > GROUPS:
+        raise ValueError(f"more than {GROUPS} groups")
+    held, out = [0] * folds, []
+    for row in sizes:
+        fold = held.index(min(held))
+        held[fold] += row["size"]
+        out.append((row[group], row["size"], fold))
+    return rows.sparkSession.createDataFrame(out, f"{group} {rows.schema[group].dataType.simpleString()}, size long, fold int")
+
+
+@query()
+def g3_group_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations dealt to five folds of nearly equal numbers of customers."""
+    return group_folds(table(spark, sf_dir, "customer"), "c_nationkey")

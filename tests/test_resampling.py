@@ -4,7 +4,7 @@ import random
 import numpy as np
 
 from stratamill.operators import spatial
-from stratamill.plans.fits import cluster_bootstrap
+from stratamill.plans.fits import cluster_bootstrap, group_folds
 
 
 def test_bootstrap_draws_clusters_with_all_their_repeats(spark):
@@ -35,3 +35,8 @@ def test_nearest_and_components(spark):
     edges = spark.createDataFrame([(i, i + 3) for i in range(0, 60)] + [(70, 71)], "a long, b long")
     found = {r["id"]: r["component"] for r in spatial.components(points.select("id"), edges).collect()}
     assert all(found[i] == i % 3 for i in range(63)) and found[71] == 70 and found[500] == 500
+
+
+def test_group_folds_are_balanced_and_keep_groups_whole(spark):
+    rows = spark.createDataFrame([(g,) for g, n in (("a", 9), ("b", 5), ("c", 4), ("d", 3), (None, 3)) for _ in range(n)], "g string")
+    assert {r["g"]: (r["size"], r["fold"]) for r in group_folds(rows, "g", 2).collect()} == {"a": (9, 0), "b": (5, 1), "c": (4, 1), "d": (3, 0), None: (3, 1)}
