@@ -102,8 +102,8 @@ def best_fit(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int
 
     Pieces of one length are alike, and so are gaps of one width; the state is at most capacity classes of each,
     whatever the number of pieces. Rounds take the lengths from the longest: the pieces of a length, by rank, go to
-    the successor of that length among the gaps, as many as there are gaps of that width; those gaps shrink, and the
-    rest goes on to the next successor or, where there is none, into new sequences, all opened at once.
+    the successor of that length among the gaps, each gap filled before the next one, as what is left of it is then the
+    successor; the rest goes on to the next width or, where there is none, into new sequences, all opened at once.
     """
     gaps: dict[int, list[tuple[int, int]]] = {}
     widths: list[int] = []
@@ -127,14 +127,18 @@ def best_fit(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int
                 continue
             width = widths[at]
             first, n = gaps[width].pop()
-            take = min(n, left)
-            if n > take:
-                gaps[width].append((first + take, n - take))
             if not gaps[width]:
                 del gaps[width], widths[at]
-            runs.append((length, rank, first, capacity - width))
-            free(width - length, first, take)
-            rank, left = rank + take, left - take
+            fit = width // length
+            full = min(n, left // fit)
+            last = left - full * fit if full < n else 0
+            for at, many, each in ((first, full, fit), (first + full, min(last, 1), last)):
+                for j in range(each if many else 0):
+                    runs.append((length, rank, at, capacity - width + j * length))
+                    rank, left = rank + many, left - many
+                free(width - each * length, at, many)
+            used = full + min(last, 1)
+            free(width, first + used, n - used)
     return runs, opened
 
 
