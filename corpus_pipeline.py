@@ -22,8 +22,8 @@ def one_of_equals(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each component of near copies."""
-    found = ngram_join.ngram_join(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    """Keeps one document of each component of near copies: sets of five-word shingles with a Jaccard similarity of 0.8 or more."""
+    found = ngram_join.ngram_join(docs, k=5, percent=80).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     return keep_rows(docs, found, ["doc_id"])
 
 

@@ -34,3 +34,12 @@ def test_odd_rows(spark, odd):
         docs = materialize(stage(spark, docs, SF))
     ids = {r.doc_id for r in docs.collect()}
     assert 1 in ids and not ids & {2, 3, 4, 5, 8}
+
+
+def test_near_copies_are_linked_by_five_words(spark, docs):
+    words = [f"w{i}" for i in range(100)]
+    changed = [f"x{i}" if i in (30, 70) else w for i, w in enumerate(words)]
+    rows = [(1, " ".join(words), "en", "s"), (2, " ".join(changed), "en", "s"), (3, "another text of six words", "en", "s")]
+    want = sorted(i for i, _, c in brute([r[:2] for r in rows], 5, 80) if i == c)
+    assert want == [1, 3] and len([i for i, _, c in brute([r[:2] for r in rows], 4, 85) if i == c]) == 3
+    assert sorted(r.doc_id for r in pipeline.one_of_near(spark, docs(rows), SF).collect()) == want
