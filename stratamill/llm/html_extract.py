@@ -34,6 +34,8 @@ _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*("[^"]*"|'[
 _WORDS = re.compile(r"[a-z]+")
 _HOST = r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)"
 _DIGITS = re.compile(r"\d+")
+#: Characters from which a block is prose.
+PROSE = 80
 #: Elements that end an open one of the same kind.
 _ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -105,62 +107,80 @@ def digest(x: str) -> int:
     return int.from_bytes(hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def style_trees(pages: DataFrame, html_col: str, host_col: str) -> DataFrame:
-    """(host, node, pages, texts, importance) of each presentation node that has text of its own on a host's pages.
+def nodes_of(found: list[tuple[str, str, bool, bool]]) -> list[int]:
+    """Of each block the content node: its text at its place among the presentation nodes."""
+    return [digest(f"{path}\0{text}") for text, path, *_ in found]
+
 
-    The pages of a host share one tree, whose nodes are presentation paths: equal paths merge. A node's importance is
-    the entropy of what its pages show there, over the logarithm of their number: 1 where each page differs, 0
-    where all are alike. Counts are summed by host, node and content, then by host and node, each with partial sums
-    before the shuffle; no tree is built in one task.
+def style_trees(pages: DataFrame, html_col: str, host_col: str) -> DataFrame:
+    """(host, content, n, pages, importance) of each content node of a host's pages, on a page with or without an article.
+
+    The pages of a host share one tree, whose inner nodes are presentation paths: equal paths merge. Its leaves are
+    content nodes, a text at a path. A leaf's importance is 1 less the entropy of its text over the pages that have
+    the path, over the logarithm of their number: 1 where one page has the text, 0 where all have. A branch is low
+    if all its leaves are, so what leaves a page are its low leaves, and a text of one page alone never does. Counts
+    are summed by host, path and text, then by host and path, each with partial sums before the shuffle; no tree is
+    built in one task.
     """
 
     def shown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            hosts, nodes, contents, first = [], [], [], []
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                nodes: dict[str, list[str]] = {}
-                for text, path, apart, within in blocks(page or ""):
-                    if not apart and not within:
-                        nodes.setdefault(path, []).append(text)
-                out += [(host, digest(path), digest("\n".join(texts))) for path, texts in nodes.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["host", "node", "content"])
-
-    seen = pages.select(F.col(host_col).alias("host"), html_col).mapInArrow(shown, "host string, node long, content long")
-    counts = seen.groupBy("host", "node", "content").agg(F.count("*").alias("n"))
-    nodes = counts.groupBy("host", "node").agg(F.sum("n").alias("pages"), F.count("*").alias("texts"), F.sum(F.col("n") * F.log("n")).alias("_nlogn"))
-    entropy = F.log("pages") - F.col("_nlogn") / F.col("pages")
-    return nodes.select("host", "node", "pages", "texts", F.when(F.col("pages") > 1, entropy / F.log("pages")).otherwise(1.0).alias("importance"))
+                found = [b for b in blocks(page or "") if not b[2]]
+                met: set[str] = set()
+                for content, path in dict(zip(nodes_of(found), (b[1] for b in found))).items():
+                    hosts.append(host)
+                    nodes.append(digest(path))
+                    contents.append(content)
+                    first.append(int(path not in met))
+                    met.add(path)
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *(pa.array(x, pa.int64()) for x in (nodes, contents, first))], names=["host", "node", "content", "first"])
+
+    seen = pages.select(F.col(host_col).alias("host"), html_col).mapInArrow(shown, "host string, node long, content long, first long")
+    counts = materialize(seen.groupBy("host", "node", "content").agg(F.count("*").alias("n"), F.sum("first").alias("first")))
+    nodes = counts.groupBy("host", "node").agg(F.sum("first").alias("pages"))
+    importance = F.when(F.col("pages") > 1, 1 - F.log("n") / F.log("pages")).otherwise(1.0)
+    return counts.drop("first").join(nodes, ["host", "node"]).select("host", "content", "n", "pages", importance.alias("importance"))
+
+
+def main_text(found: list[tuple[str, str, bool, bool]], low: set[int], lowest: set[int]) -> str:
+    """The text of a page's blocks without low content nodes; in an article or main element only the lowest are low."""
+    if low:
+        found = [b for b, node in zip(found, nodes_of(found)) if node not in (lowest if b[3] else low)]
+    prose = [0, 0]
+    for text, _, _, within in found:
+        prose[within] += len(text) if len(text) >= PROSE else 0
+    if any(b[3] for b in found) and prose[True] >= prose[False]:
+        found = [b for b in found if b[3]]
+    return "\n\n".join(b[0] for b in found)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: float = 0.3, support: int = 5) -> DataFrame:
     """id, url, text, n_chars for each row of pages.
 
-    Elements that stand apart by name, role, class or id go, inside an article too. Where a page has an article or
-    main element with text, that is its main text. Elsewhere the nodes of its host's style tree that are on support
-    pages or more with an importance below least are taken for boilerplate; hosts with fewer pages keep all. Blocks
-    are joined in page order by two line breaks; white space in a block becomes one space, character references are
-    decoded. A null or empty page has an empty text; a null url is a host of its own kind.
+    Elements that stand apart by name, role, class or id go, inside an article too. Of what is left, the content
+    nodes of its host's style tree that are on support pages or more with an importance below least are taken for
+    boilerplate, on every page; in an article or main element, below half of least. Hosts with fewer pages keep all.
+    Then, if article and main elements have text, and no less in blocks of PROSE characters than the rest of the page
+    has in such blocks, they are the main text; else all that is left is. Blocks are joined in page order by two line
+    breaks; white space in a block becomes one space, character references are decoded. A null or empty page has an
+    empty text; a null url is a host of its own kind.
 
     What goes to the pages from the style trees are the nodes to remove, one row for each host that has any: broadcast
     only if there are few, else joined.
     """
     hosted = pages.select(F.col(id_col), F.col(url_col), F.col(html_col), F.lower(F.coalesce(F.regexp_extract(F.col(url_col), _HOST, 1), F.lit(""))).alias("_host"))
-    low = style_trees(hosted, html_col, "_host").filter((F.col("pages") >= support) & (F.col("importance") < least))
-    low = materialize(low.groupBy(F.col("host").alias("_host")).agg(F.collect_list("node").alias("_low")))
-    joined = hosted.join(small(low, 10_000), "_host", "left").select(id_col, url_col, html_col, "_low")
+    low = style_trees(hosted, html_col, "_host").filter((F.col("n") >= support) & (F.col("importance") < least))
+    lowest = F.collect_list(F.when(F.col("importance") < least / 2, F.col("content")))
+    low = materialize(low.groupBy(F.col("host").alias("_host")).agg(F.collect_list("content").alias("_low"), lowest.alias("_lowest")))
+    joined = hosted.join(small(low, 10_000), "_host", "left").select(id_col, url_col, html_col, "_low", "_lowest")
 
-    def main_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for page, low in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                found = [b for b in blocks(page or "") if not b[2]]
-                if any(within for *_, within in found):
-                    found = [b for b in found if b[3]]
-                elif low:
-                    gone = set(low)
-                    found = [b for b in found if digest(b[1]) not in gone]
-                texts.append("\n\n".join(b[0] for b in found))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[id_col, url_col, "text", "n_chars"])
+            rows = zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)))
+            out = [main_text([b for b in blocks(page or "") if not b[2]], set(low or ()), set(lowest or ())) for page, low, lowest in rows]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=[id_col, url_col, "text", "n_chars"])
 
     schema = T.StructType([pages.schema[id_col], pages.schema[url_col], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
-    return joined.mapInArrow(main_text, schema)
+    return joined.mapInArrow(texts, schema)

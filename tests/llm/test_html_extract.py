@@ -31,3 +31,21 @@ def test_articles_of_the_table(spark):
         body = re.search(r"(?s)<article>(.*?)</article>", r.html)[1]
         want = [" ".join(re.sub(r"<b>|</b>|<br>", " " if "<br>" in t else "", t).split()) for t in re.split(r"</?(?:h1|p)>", body)]
         assert r.text.replace("&", "") == "\n\n".join(w for w in want if w).replace("&amp;", "").replace("&quot;", '"').replace("&amp", "").replace("&", "") and r.n_chars == len(r.text)
+
+
+def pages_of(spark, rows):
+    return spark.createDataFrame(rows, "page_id long, url string, html string")
+
+
+def text_by_id(spark, rows):
+    return {r.page_id: r.text for r in extract(pages_of(spark, rows)).collect()}
+
+
+def test_style_tree_decides_pages_with_an_article_too(spark):
+    page = "<body><main><div class=x1>Join our mailing list</div><h1>Title {0}</h1><p>Story {0}</p></main></body>"
+    rows = [(i, f"http://a.example/{i}", page.format(i)) for i in range(20)]
+    body = " ".join(["The body of this page is in a plain element."] * 5)
+    rows.append((30, "http://b.example/1", f"<div><p>{body}</p></div><article>Another page</article><article>And one more</article>"))
+    got = text_by_id(spark, rows)
+    assert all(got[i] == f"Title {i}\n\nStory {i}" for i in range(20))
+    assert got[30] == f"{body}\n\nAnother page\n\nAnd one more"
