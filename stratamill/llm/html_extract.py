@@ -15,23 +15,31 @@ from pyspark.sql import types as T
 from stratamill.llm.common import materialize, small
 
 #: Elements without text of their own, elements that stand apart from the article, elements that part blocks,
-#: words of class, id and role attributes that name such parts, elements without an end tag.
+#: whole class tokens and ids that name such parts, those of them that name no part for sure within an article, those
+#: that list articles of their own, elements without an end tag.
 MUTE = "script style noscript template svg math iframe object embed canvas video audio map select datalist textarea button title head"
 ASIDE = "nav aside footer form menu dialog search"
 BLOCKS = "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul"
 PARTS = (
-    "ad ads advert advertisement advertisements adverts adsense adslot banner banners breadcrumb breadcrumbs byline-links comment comments commentlist consent contentinfo "
-    "cookie cookies disqus dropdown footer gdpr header masthead menu menubar menus modal nav navbar navigation newsletter notice notices notification overlay pager "
-    "pagination paywall popup promo promos promotion recommended related replies reply respond share sharing sidebar sidebars signup skip social "
-    "sponsor sponsored subscribe subscription toc toolbar topbar widget widgets"
+    "ad ads advert advertisement advertisements adverts adsense adslot ad-banner ad-container ad-slot ad-wrapper banner banners breadcrumb breadcrumbs byline-links comment comments comment-form "
+    "comment-list commentlist comments-area consent contentinfo cookie cookies cookie-banner cookie-consent cookie-notice disqus dropdown footer gdpr header main-menu main-nav main-navigation masthead "
+    "menu menubar menus modal nav nav-menu navbar navigation newsletter notice notices notification overlay page-footer pager pagination paywall popup post-navigation promo promos promotion "
+    "recommended related related-articles related-posts replies reply respond share share-buttons share-links sharing side-bar sidebar sidebars signup site-footer site-header site-nav site-navigation skip skip-link social "
+    "social-links social-share sponsor sponsored subscribe subscription toc toolbar topbar top-bar widget widgets"
 )
+UNSURE = "banner dropdown header masthead menu menus modal notice notices notification overlay promotion skip subscription widget widgets"
+LISTS = "comment comments comment-list commentlist comments-area disqus recommended related related-articles related-posts replies reply respond side-bar sidebar sidebars"
 VOID = "area base br col embed hr img input link meta param source track wbr"
 
-_MUTE, _ASIDE, _BLOCKS, _PARTS, _VOID = (frozenset(x.split()) for x in (MUTE, ASIDE, BLOCKS, PARTS, VOID))
+_MUTE, _ASIDE, _BLOCKS, _PARTS, _UNSURE, _LISTS, _VOID = (frozenset(x.split()) for x in (MUTE, ASIDE, BLOCKS, PARTS, UNSURE, LISTS, VOID))
+_SURE = _PARTS - _UNSURE
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_COMMENT = frozenset("comment comments comment-body reply replies respond".split())
+#: How far an element stands apart: by a name that an article in it outweighs, by one that only a main element does, for good.
+_WEAK, _STRONG, _HIDDEN = 1, 2, 3
 _ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|math|iframe|textarea|title)\b[^>]*(?:/>|>.*?(?:</\1\s*>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)(?:>|\Z)", re.S | re.I)
-_ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-_WORDS = re.compile(r"[a-z]+")
+_ATTR = re.compile(r"""([^\s=/>"']+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?|["'=]""")
 _HOST = r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)"
 _DIGITS = re.compile(r"\d+")
 #: Characters from which a block is prose.
@@ -40,16 +48,43 @@ PROSE = 80
 _ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
-def blocks(page: str) -> Iterator[tuple[str, str, bool, bool]]:
-    """(text, presentation path, whether it stands apart from the article, whether in an article or main element).
-
-    Tolerates pages that are cut off, unclosed and stray tags.
+def attributes(raw: str) -> dict[str, str]:
+    """Attributes by name, the first of a name; values are passed over as a whole, so no name is found in one."""
+    out: dict[str, str] = {}
+    for m in _ATTR.finditer(raw):
+        if m[1]:
+            out.setdefault(m[1].lower(), (m[2] or "").strip("\"'").lower())
+    return out
+
+
+def set_apart(name: str, attrs: dict[str, str], within: bool) -> int:
+    """How far an element stands apart by its own name, role, class and id; names that may belong to an article are left to the style tree."""
+    if name in _MUTE or "hidden" in attrs or attrs.get("aria-hidden") == "true":
+        return _HIDDEN
+    role, tokens = attrs.get("role"), {*attrs.get("class", "").split(), attrs.get("id", "").strip()}
+    if name in ("article", "main") or role in ("main", "article"):
+        return _STRONG if tokens & _COMMENT else 0  # a comment can be an article of its own
+    if name == "form" or role == "form":
+        return _WEAK
+    if name in _ASIDE or role in _ROLES or name == "header" and not within:
+        return _STRONG
+    if name in _HEADINGS or name in ("html", "body"):
+        return 0
+    named = tokens & (_SURE if within else _PARTS)
+    return (_STRONG if named & _LISTS else _WEAK) if named else 0
+
+
+def blocks(page: str) -> Iterator[tuple[str, str, int, bool]]:
+    """(text, presentation path, how far it stands apart from the article, whether in an article or main element).
+
+    An element that stands apart takes what it holds along, except that a main element, or an article where only a
+    weak name is above it, starts anew. Tolerates pages that are cut off, unclosed and stray tags.
     """
     # of each open element: name, path, apart, within an article
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
+    stack: list[tuple[str, str, int, bool]] = [("", "", 0, False)]
     held: list[str] = []
 
-    def close() -> Iterator[tuple[str, str, bool, bool]]:
+    def close() -> Iterator[tuple[str, str, int, bool]]:
         text = "".join(held)
         held.clear()
         if text := " ".join((html.unescape(text) if "&" in text else text).split()):
@@ -86,18 +121,15 @@ def blocks(page: str) -> Iterator[tuple[str, str, bool, bool]]:
                     break
                 if stack[k][0] in ("ul", "ol", "dl", "table", "div", "article", "section", "td"):
                     break
-        attrs = {a[1].lower(): (a[2] or "").strip("\"'").lower() for a in _ATTR.finditer(m[4])} if m[4].strip() else {}
-        named = set(_WORDS.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}"))
+        attrs = attributes(m[4]) if m[4].strip() else {}
         _, path, apart, within = stack[-1]
         main = name in ("article", "main") or attrs.get("role") in ("main", "article")
-        body = name in ("html", "body")
-        off = name in _ASIDE or name in _MUTE or attrs.get("role") in _ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true" or name == "header" and not within
-        off = off or not body and not main and bool(named & _PARTS)
-        # a comment can be an article of its own
-        off = off or main and bool(named & {"comment", "comments", "reply", "replies", "respond"})
+        if main and apart <= (_STRONG if "main" in (name, attrs.get("role")) else _WEAK):
+            apart = 0
+        off = set_apart(name, attrs, within)
         look = _DIGITS.sub("#", " ".join(sorted(attrs.get("class", "").split())))
         # inline elements part no blocks and are no nodes of the style tree
-        stack.append((name, f"{path}/{name}.{look}" if name in _BLOCKS else path, apart or off, within or main))
+        stack.append((name, f"{path}/{name}.{look}" if name in _BLOCKS else path, max(apart, off), within or main))
     if at < len(page) and not re.match(r"<[a-zA-Z/!]", page[at:]):
         held.append(page[at:])
     yield from close()
@@ -107,7 +139,7 @@ def digest(x: str) -> int:
     return int.from_bytes(hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def nodes_of(found: list[tuple[str, str, bool, bool]]) -> list[int]:
+def nodes_of(found: list[tuple[str, str, int, bool]]) -> list[int]:
     """Of each block the content node: its text at its place among the presentation nodes."""
     return [digest(f"{path}\0{text}") for text, path, *_ in found]
 
@@ -144,7 +176,7 @@ def style_trees(pages: DataFrame, html_col: str, host_col: str) -> DataFrame:
     return counts.drop("first").join(nodes, ["host", "node"]).select("host", "content", "n", "pages", importance.alias("importance"))
 
 
-def main_text(found: list[tuple[str, str, bool, bool]], low: set[int], lowest: set[int]) -> str:
+def main_text(found: list[tuple[str, str, int, bool]], low: set[int], lowest: set[int]) -> str:
     """The text of a page's blocks without low content nodes; in an article or main element only the lowest are low."""
     if low:
         found = [b for b, node in zip(found, nodes_of(found)) if node not in (lowest if b[3] else low)]

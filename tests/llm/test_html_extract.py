@@ -49,3 +49,11 @@ def test_style_tree_decides_pages_with_an_article_too(spark):
     got = text_by_id(spark, rows)
     assert all(got[i] == f"Title {i}\n\nStory {i}" for i in range(20))
     assert got[30] == f"{body}\n\nAnother page\n\nAnd one more"
+
+
+def test_names_in_values_and_parts_of_names_set_nothing_apart():
+    assert texts('<article><header class="entry-header"><h1>T</h1></header><h2 id="market-share">a</h2><h2 id="related-work">b</h2><h2 id="notice-period">c</h2></article>') == ["T", "a", "b", "c"]
+    assert texts('<div class="content has-sidebar"><article><p>k</p></article></div>') == ["k"]
+    assert texts("""<p style="overflow:hidden">a</p><p title='a hidden gem'>b</p><p data-hidden="false">c</p><p hidden>d</p><p class=x hidden="">e</p><p aria-hidden=true>f</p>""") == ["a", "b", "c"]
+    assert texts('<form id="page"><div class="widget"><article>k</article>m</div></form><div class="sidebar"><main>n</main></div>') == ["k", "n"]
+    assert texts('<div class="related"><article>t</article></div><article>k<div class="share">s</div><div class="notice">n</div></article><div id="notice">o</div>') == ["k", "n"]
