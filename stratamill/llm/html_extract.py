@@ -152,24 +152,25 @@ def style_trees(pages: DataFrame, html_col: str, host_col: str) -> DataFrame:
     the path, over the logarithm of their number: 1 where one page has the text, 0 where all have. A branch is low
     if all its leaves are, so what leaves a page are its low leaves, and a text of one page alone never does. Counts
     are summed by host, path and text, then by host and path, each with partial sums before the shuffle; no tree is
-    built in one task.
+    built in one task. Pages of a host whose texts are all equal are one page, so copies take nothing from a text.
     """
 
     def shown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, nodes, contents, first = [], [], [], []
-            for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            keys, leaves = [], []
+            for page in batch.column(1).to_pylist():
                 found = [b for b in blocks(page or "") if not b[2]]
+                keys.append(digest("\n".join(b[0] for b in found)))
                 met: set[str] = set()
+                leaves.append([])
                 for content, path in dict(zip(nodes_of(found), (b[1] for b in found))).items():
-                    hosts.append(host)
-                    nodes.append(digest(path))
-                    contents.append(content)
-                    first.append(int(path not in met))
+                    leaves[-1].append({"node": digest(path), "content": content, "first": int(path not in met)})
                     met.add(path)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *(pa.array(x, pa.int64()) for x in (nodes, contents, first))], names=["host", "node", "content", "first"])
+            kind = pa.list_(pa.struct([(x, pa.int64()) for x in ("node", "content", "first")]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(leaves, kind)], names=["host", "page", "leaves"])
 
-    seen = pages.select(F.col(host_col).alias("host"), html_col).mapInArrow(shown, "host string, node long, content long, first long")
+    seen = pages.select(F.col(host_col).alias("host"), html_col).mapInArrow(shown, "host string, page long, leaves array<struct<node:long,content:long,first:long>>")
+    seen = seen.dropDuplicates(["host", "page"]).select("host", F.inline("leaves"))
     counts = materialize(seen.groupBy("host", "node", "content").agg(F.count("*").alias("n"), F.sum("first").alias("first")))
     nodes = counts.groupBy("host", "node").agg(F.sum("first").alias("pages"))
     importance = F.when(F.col("pages") > 1, 1 - F.log("n") / F.log("pages")).otherwise(1.0)
@@ -177,9 +178,15 @@ def style_trees(pages: DataFrame, html_col: str, host_col: str) -> DataFrame:
 
 
 def main_text(found: list[tuple[str, str, int, bool]], low: set[int], lowest: set[int]) -> str:
-    """The text of a page's blocks without low content nodes; in an article or main element only the lowest are low."""
+    """The text of a page's blocks without low content nodes; in an article or main element only the lowest are low.
+
+    Where most of an article's prose would go, the host's pages are near copies of each other, and it stays whole.
+    """
     if low:
-        found = [b for b, node in zip(found, nodes_of(found)) if node not in (lowest if b[3] else low)]
+        gone = [node in (lowest if b[3] else low) for b, node in zip(found, nodes_of(found))]
+        article = [(len(b[0]), x) for b, x in zip(found, gone) if b[3] and len(b[0]) >= PROSE]
+        whole = 2 * sum(n for n, x in article if x) > sum(n for n, _ in article)
+        found = [b for b, x in zip(found, gone) if not x or whole and b[3]]
     prose = [0, 0]
     for text, _, _, within in found:
         prose[within] += len(text) if len(text) >= PROSE else 0
@@ -192,8 +199,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """id, url, text, n_chars for each row of pages.
 
     Elements that stand apart by name, role, class or id go, inside an article too. Of what is left, the content
-    nodes of its host's style tree that are on support pages or more with an importance below least are taken for
-    boilerplate, on every page; in an article or main element, below half of least. Hosts with fewer pages keep all.
+    nodes of its host's style tree that are on support different pages or more with an importance below least are taken for
+    boilerplate, on every page; in an article or main element, below half of least and unless most of its prose would
+    go. Hosts with fewer different pages keep all.
     Then, if article and main elements have text, and no less in blocks of PROSE characters than the rest of the page
     has in such blocks, they are the main text; else all that is left is. Blocks are joined in page order by two line
     breaks; white space in a block becomes one space, character references are decoded. A null or empty page has an

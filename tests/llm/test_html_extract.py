@@ -57,3 +57,15 @@ def test_names_in_values_and_parts_of_names_set_nothing_apart():
     assert texts("""<p style="overflow:hidden">a</p><p title='a hidden gem'>b</p><p data-hidden="false">c</p><p hidden>d</p><p class=x hidden="">e</p><p aria-hidden=true>f</p>""") == ["a", "b", "c"]
     assert texts('<form id="page"><div class="widget"><article>k</article>m</div></form><div class="sidebar"><main>n</main></div>') == ["k", "n"]
     assert texts('<div class="related"><article>t</article></div><article>k<div class="share">s</div><div class="notice">n</div></article><div id="notice">o</div>') == ["k", "n"]
+
+
+def test_copies_of_a_page_keep_their_text(spark):
+    page = "<body><div class=top>Welcome</div><div class=txt><p>Story {0}</p></div></body>"
+    long = " ".join(["A sentence that all the near copies share."] * 4)
+    rows = [(i, f"http://a.example/{i}", page.format(0)) for i in range(8)]
+    rows += [(i, f"http://b.example/{i}", page.format(max(i, 40))) for i in range(10, 50)]
+    rows += [(i, f"http://c.example/{i}", f"<article><p>{long}</p><p>Edition {i}</p></article>") for i in range(60, 70)]
+    got = text_by_id(spark, rows)
+    assert all(got[i] == "Welcome\n\nStory 0" for i in range(8))
+    assert all(got[i] == f"Story {max(i, 40)}" for i in range(10, 50))
+    assert all(got[i] == f"{long}\n\nEdition {i}" for i in range(60, 70))
