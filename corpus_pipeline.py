@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratamill.llm import curriculum, exact_dedup, language_id, ngram_join, packing
-from stratamill.llm.common import keep_rows, materialize, null_safe, table
+from stratamill.llm.common import keep_rows, materialize, null_safe, running, table
 from stratamill.llm.queries import word_tokenizer
 
 
@@ -21,10 +21,24 @@ def one_of_equals(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return exact_dedup.drop_copies(docs)
 
 
+def with_own_ids(docs: DataFrame) -> DataFrame:
+    """docs with a number _id of its own for each pair of doc_id and text: doc_id where that is one, else the place by doc_id, null last."""
+    if docs.groupBy("doc_id").count().filter("doc_id IS NULL OR count > 1").isEmpty():
+        return docs.withColumn("_id", F.col("doc_id"))
+    tagged = docs.withColumn("_sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
+    pairs = materialize(tagged.select("doc_id", "_sha256").distinct())
+    numbered = running(pairs, [], [F.col("doc_id").asc_nulls_last(), F.col("_sha256").asc()], F.lit(1), "_id")
+    return materialize(null_safe(tagged, numbered, ["doc_id", "_sha256"]).drop("_sha256"))
+
+
 def one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each component of near copies: sets of five-word shingles with a Jaccard similarity of 0.8 or more."""
-    found = ngram_join.ngram_join(docs, k=5, percent=80).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return keep_rows(docs, found, ["doc_id"])
+    """Keeps one document of each component of near copies: sets of five-word shingles with a Jaccard similarity of 0.8 or more.
+
+    Different texts under a null or shared doc_id are documents of their own.
+    """
+    own = with_own_ids(docs)
+    found = ngram_join.ngram_join(own, k=5, percent=80, id_col="_id").filter("_id = component_id")
+    return keep_rows(own, found, ["_id"]).select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -43,3 +43,11 @@ def test_near_copies_are_linked_by_five_words(spark, docs):
     want = sorted(i for i, _, c in brute([r[:2] for r in rows], 5, 80) if i == c)
     assert want == [1, 3] and len([i for i, _, c in brute([r[:2] for r in rows], 4, 85) if i == c]) == 3
     assert sorted(r.doc_id for r in pipeline.one_of_near(spark, docs(rows), SF).collect()) == want
+
+
+def test_different_texts_under_one_id_stay(spark, docs):
+    words = [f"w{i}" for i in range(100)]
+    rows = [(None, "one text of five words", "en", "s"), (None, "quite another text than that", "en", "s"), (4, "the first text of four", "en", "s"), (4, "and a second text of it", "en", "s")]
+    rows += [(None, " ".join(words), "en", "s"), (7, " ".join([*words, "end"]), "en", "s"), (9, " ".join(words[1:]), "en", "s"), (8, "same row", "en", "s"), (8, "same row", "en", "s")]
+    got = sorted((r.doc_id or 0, r.text) for r in pipeline.one_of_near(spark, docs(rows), SF).collect())
+    assert got == sorted([(i or 0, t) for i, t, *_ in rows[:4]] + [(7, rows[5][1]), (8, "same row")])
