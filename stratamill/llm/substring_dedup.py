@@ -1,4 +1,4 @@
-"""Substring dedup by prefix-partitioned suffix trees."""
+"""Substring dedup by range-sorted window hashes, in place of prefix-partitioned suffix trees."""
 
 from __future__ import annotations
 
@@ -66,11 +66,12 @@ def _dedup(docs: DataFrame, window: int, id_col: str, text_col: str, support: fl
        of a very frequent text go no further.
     2. The suffix that starts at a word can only repeat if the least hash among its window's grams, which equal
        windows share, occurs in two documents; about a quarter of the positions have a hash of their own to compare.
-    3. The suffixes that are left, cut at the window's length, are split by variable-length prefixes: range
-       partitioning by prefix hash, then whole path, then id gives groups of like size, cutting inside a prefix, a
-       path or even the documents of one path where those are large. Each group in order is its subtree: its nodes
-       of full depth are runs of equal paths. Every document of a node but its first loses the window. Runs that
-       cross a border are joined by one row for each group.
+    3. No tree is built, and there are no inner nodes and no maximal repeats: a suffix that is left is cut at the
+       window's length, and its path is one hash of that window. Range partitioning by the hash of its first words
+       (PREFIX at most), then path, then id gives groups of like size, cutting inside a prefix, a path or even the
+       documents of one path where those are large. Runs of equal paths stand for a suffix tree's nodes of that
+       depth, the only ones asked for. Every document of a run but its first loses the window. Runs that cross a
+       border are joined by one row for each group.
     4. The windows found go back to their documents, which alone are read again.
     """
     spark = docs.sparkSession
