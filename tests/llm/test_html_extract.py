@@ -1,11 +1,13 @@
+import math
 import re
+from collections import Counter, defaultdict
 
 from stratamill.llm.common import table
-from stratamill.llm.html_extract import blocks, extract
+from stratamill.llm.html_extract import DAMPING, content, extract, low_marks, parse, style_tree
 
 
 def texts(page):
-    return [t for t, _, apart, _ in blocks(page) if not apart]
+    return [b.text for b in parse(page)[0] if not b.apart]
 
 
 def test_blocks():
@@ -69,3 +71,71 @@ def test_copies_of_a_page_keep_their_text(spark):
     assert all(got[i] == "Welcome\n\nStory 0" for i in range(8))
     assert all(got[i] == f"Story {max(i, 40)}" for i in range(10, 50))
     assert all(got[i] == f"{long}\n\nEdition {i}" for i in range(60, 70))
+
+
+def plain_tree(pages):
+    """Importance of the element and content nodes of one site by recursion, and the nodes that are low at 0.3."""
+    looks, parts, below, size, seen = defaultdict(list), defaultdict(Counter), defaultdict(set), {}, set()
+    for page in pages:
+        found, elements = parse(page, "s")
+        if (key := tuple(b.text for b in found if not b.apart)) in seen:
+            continue
+        seen.add(key)
+        for node in {e.node for e in elements}:
+            looks[node].append({tuple(e.kids) for e in elements if e.node == node})
+        for e in elements:
+            if len(e.chain) > 1:
+                below[e.chain[-2]].add(e.node)
+        for node, text in {(b.node, b.text) for b in found}:
+            parts[node][text] += 1
+            size[text] = len(text)
+    weight = lambda e: sum(n * size[t] for t, n in parts[e].items()) + sum(map(weight, below[e]))
+    leaf = {(e, t): 1 - math.log(n) / math.log(len(looks[e])) if len(looks[e]) > 1 else 1.0 for e in parts for t, n in parts[e].items()}
+
+    def value(e):
+        inner = sum(n * size[t] * leaf[e, t] for t, n in parts[e].items()) + sum(map(value, below[e]))
+        kinds, m = Counter(k for page in looks[e] for k in page), len(looks[e])
+        if set(kinds) == {()}:
+            return inner
+        total = sum(kinds.values())
+        spread = -sum(n / total * math.log(n / total) for n in kinds.values())
+        g = DAMPING ** len(kinds)
+        return (1 - g) * (min(1.0, spread / math.log(m)) if m > 1 else 1.0) * weight(e) + g * inner
+
+    importance = {e: value(e) / weight(e) for e in looks if weight(e)}
+    most = lambda e: max([importance.get(e, 0.0), *map(most, below[e])])
+    low = {content(e, t) for (e, t), x in leaf.items() if parts[e][t] > 1 and x < 0.3} | {e for e in importance if len(looks[e]) > 1 and most(e) < 0.3}
+    return leaf, importance, low
+
+
+def test_style_tree_is_that_of_a_plain_recursion(spark):
+    side = "<div class=s><ul>{}</ul><div class=d{}>Follow us</div></div>"
+    page = "<body><div class=top>Welcome<span>!</span></div>{side}<div class=txt><h1>T{i}</h1>{body}</div><div class=low><p>All rights</p><p>{year}</p></div></body>"
+    pages = [page.format(i=i, side=side.format("".join(f"<li>Item {k}</li>" for k in (1, 2, 3, 90 + i)), "x" if i % 4 else "") if i % 5 else "", body=f"<p>Body of page {i}</p>" * (i % 3 + 1) + "<table><tr><td>1</table>" * (i % 2), year=2000 + i % 2) for i in range(24)]
+    pages += pages[:6]
+    leaf, importance, low = plain_tree(pages)
+    rows = spark.createDataFrame([(x, "s") for x in pages], "html string, site string").repartition(3)
+    texts, elements = style_tree(rows, "html", "site")
+    got = {r.content: round(r.importance, 9) for r in texts.collect()}
+    assert got == {content(e, t): round(x, 9) for (e, t), x in leaf.items()} and len(got) > 30
+    assert {r.node: round(r.importance, 9) for r in elements.collect()} == {e: round(x, 9) for e, x in importance.items()}
+    assert {r.mark for r in low_marks(texts, elements, 0.3).collect()} == low and any(e in low for e in importance)
+
+
+def test_a_low_branch_takes_its_short_texts_along(spark):
+    page = "<body><div class=s><ul><li>Home page</li><li>All our stories</li><li>Write to us</li><li>No {0}</li></ul></div><div class=t><p>Story number {0} is told here</p></div></body>"
+    rows = [(i, f"http://a.example/{i}", page.format(i)) for i in range(30)]
+    want = {i: f"Story number {i} is told here" for i in range(30)}
+    assert text_by_id(spark, rows) == want
+    assert {r.page_id: r.text for r in extract(pages_of(spark, rows + rows[:3]), most=0).collect()} == want
+
+
+def test_few_pages_odd_rows_and_long_pages(spark):
+    page = "<div class=a>Welcome to the site</div><div class=b><p>{0}</p></div>"
+    long = "word " * 60_000
+    rows = [(1, "http://a.example/1", page.format("First story")), (2, "http://a.example/2", page.format("Second story")), (2, "http://a.example/2", page.format("Second story"))]
+    rows += [(None, None, "<p>x</p>"), (4, None, None), (5, "http://b.example", ""), (6, "http://b.example/6", f"<article><p>{long}</p></article>"), (7, "http://c.example", "<div>" * 3000 + "deep" + "</div>" * 3000)]
+    got = sorted(((r.page_id or 0, r.url, r.text, r.n_chars) for r in extract(pages_of(spark, rows)).collect()), key=str)
+    assert [x[2] for x in got] == ["x", "First story", "Second story", "Second story", "", "", long.strip(), "deep"]
+    assert [x[3] for x in got][-2:] == [len(long) - 1, 4]
+    assert texts("<p data-x=it's>First par</p><p>don't lose</p>") == ["First par", "don't lose"] and texts('<article style="overflow:hidden"><p>Real text</p></article>') == ["Real text"]
