@@ -24,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one where the session names none, as in tests."""
+    """The folder that all executors share; a temporary one where the session names none and runs on one machine, as in tests."""
     if named := spark.conf.get("spark.checkpoint.dir", None):
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="stratamill-"))
 
 
@@ -58,6 +60,23 @@ def null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "
     return left.join(renamed, cond, how).drop(*(f"_r_{c}" for c in on))
 
 
+def look_up(rows: DataFrame, info: DataFrame, on: Sequence[str], count: str, support: float = 1e-3) -> DataFrame:
+    """rows with the columns of info for their key, null where on has a null or info no such key; a left join.
+
+    info has a row for each key, with how many of rows it has in count. Keys of more than support of all rows, of
+    which there are no more than 1 / support, are broadcast, so none of them is one task's.
+    """
+    total = info.agg(F.sum(count)).first()[0] or 0
+    heavy = info.filter(F.col(count) > support * total).withColumn("_heavy", F.lit(True))
+    tagged = rows.join(F.broadcast(heavy), list(on), "left")
+    whole = F.lit(True)
+    for c in on:
+        whole = whole & F.col(c).isNotNull()
+    none = tagged.filter("_heavy IS NOT NULL").union(tagged.filter(F.col("_heavy").isNull() & ~whole)).drop("_heavy")
+    light = tagged.filter(F.col("_heavy").isNull() & whole).select(*rows.columns)
+    return none.unionByName(light.join(info.filter(F.col(count) <= support * total), list(on), "left"))
+
+
 def running(df: DataFrame, group: Sequence[str], order: Sequence[str | Column], value: Column, name: str) -> DataFrame:
     """Adds the sum of value over the earlier rows of the same group.
 
