@@ -22,17 +22,20 @@ FAN, SAMPLE = 16, 10_000
 SLACK, SURE = 1e-9, 1e-6
 
 
-def unit_rows(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Which vectors can have links (not null, no null or non-finite component, not zero), and those at length 1."""
-    ok, out = np.zeros(len(column), bool), []
-    for r, v in enumerate(column.to_pylist()):
-        if v and all(c is not None for c in v):
-            x = np.array(v, np.float64)
-            if np.isfinite(x).all() and (size := np.abs(x).max()) > 0:
-                x = x / size
-                ok[r] = True
-                out.append(x / np.sqrt(x @ x))
-    return ok, out
+def usable(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, vectors, the same at length 1) of the vectors that can have links, length by length: not null, no null or
+    non-finite component, not zero."""
+    column = column.cast(pa.large_list(pa.float64()))
+    at, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    size, valid = np.diff(at), column.is_valid().to_numpy(zero_copy_only=False)
+    for n in np.unique(size[valid & (size > 0)]):
+        rows = np.flatnonzero(valid & (size == n))
+        x = values[at[rows][:, None] + np.arange(n)]
+        most = np.abs(x).max(axis=1)  # NaN or infinite where a component is
+        good = np.isfinite(most) & (most > 0)
+        x = x[good]
+        u = x / most[good][:, None]
+        yield rows[good], x, u / np.sqrt(np.einsum("ij,ij->i", u, u))[:, None]
 
 
 def axes(sample: np.ndarray, dims: int) -> np.ndarray:
@@ -187,14 +190,12 @@ def vector_join(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id",
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok, unit = unit_rows(batch.column(2))
+            keys, units = [None] * batch.num_rows, [None] * batch.num_rows
             named = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
-            keys, units, held = [None] * len(ok), [None] * len(ok), iter(unit)
-            for r in np.flatnonzero(ok):
-                x = next(held)
-                if named[r]:
-                    units[r] = x.tobytes()
-                    keys[r] = hashlib.blake2b(np.array(batch.column(2)[r].as_py(), np.float64).tobytes(), digest_size=16).digest()
+            for at, x, u in usable(batch.column(2)):
+                for k, r in enumerate(at):
+                    if named[r]:
+                        keys[r], units[r] = hashlib.blake2b(x[k].tobytes(), digest_size=16).digest(), u[k].tobytes()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(units, pa.binary())], names=["id", "label", "key", "u"])
 
     label = T.StructField("label", rows.schema["label"].dataType)
@@ -214,13 +215,12 @@ def vector_join(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id",
             for n in np.unique(lens):
                 at = np.flatnonzero(lens == n)
                 ys[at] = turned(np.frombuffer(b"".join(units[r] for r in at), np.float64).reshape(len(at), n), sent.value.get(int(n)))
-            cells = np.floor(ys / eps).astype(np.int64)
-            lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(ys) + 1) * (DIMS + 1), pa.int32()), pa.array(x.ravel())) for x in (ys, cells)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *lists], names=[*batch.schema.names, "y", "cell"])
+            y = pa.ListArray.from_arrays(pa.array(np.arange(len(ys) + 1) * (DIMS + 1), pa.int32()), pa.array(ys.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, y], names=[*batch.schema.names, "y"])
 
     lead = classes.select("cid", "n", "label", "len", "u")
-    points = lead.mapInArrow(located, T.StructType([*lead.schema, T.StructField("y", T.ArrayType(T.DoubleType())), T.StructField("cell", T.ArrayType(T.LongType()))]))
-    ordered = running(points, ["label", "len"], ["cell", "cid"], F.lit(1).cast("long"), "at")
+    points = lead.mapInArrow(located, T.StructType([*lead.schema, T.StructField("y", T.ArrayType(T.DoubleType()))]))
+    ordered = running(points, ["label", "len"], [F.transform("y", lambda c: F.floor(c / eps)), F.col("cid")], F.lit(1).cast("long"), "at")
     ordered = materialize(ordered.withColumn("block", F.expr(f"at div {block}")))
     bounds = [f(F.col("y")[i]).alias(f"{e}{i}") for i in range(DIMS + 1) for e, f in (("lo", F.min), ("hi", F.max))]
     pairs = near_blocks(materialize(ordered.groupBy("label", "len", "block").agg(*bounds)), eps)
