@@ -6,12 +6,11 @@ import os
 import re
 import zlib
 from array import array
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -97,75 +96,146 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 0,
     return docs.select(id_col, text_col).mapInArrow(cut, T.StructType([docs.schema[id_col], *PIECES]))
 
 
-def best_fit(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int]], int]:
-    """Runs (length, first rank, first sequence, offset) and the number of sequences.
+def bands(capacity: int) -> list[tuple[int, int]]:
+    """(lo, hi]: lengths of which capacity // hi fit in a sequence, the wider the shorter they are."""
+    ends = sorted({capacity, *(capacity // k for k in (2, 3, 4, 8, 32))} - {0}, reverse=True)
+    return list(zip([*ends[1:], 0], ends))
 
-    Pieces of one length are alike, and so are gaps of one width; the state is at most capacity classes of each,
-    whatever the number of pieces. Rounds take the lengths from the longest: the pieces of a length, by rank, go to
-    the successor of that length among the gaps, each gap filled before the next one, as what is left of it is then the
-    successor; the rest goes on to the next width or, where there is none, into new sequences, all opened at once.
+
+def sweep(items: DataFrame, gaps: DataFrame, capacity: int) -> tuple[DataFrame, DataFrame, DataFrame, int, int]:
+    """A round: (placed, gaps, items that are left), and how many are left and how many words of room they need.
+
+    Items (item, length) and gaps (gap, width) are range-sorted together, the longest first, gaps before items of
+    their width. Each partition goes through its range: an item goes to the successor of its length among the
+    partition's gaps, and what is left of that gap is a gap again. Items that found none are carried to the gaps which
+    earlier partitions have left, all of which are wide enough: one row for each partition says how many items and
+    places there are, and items take places by rank, from the last and narrowest gap on.
     """
-    gaps: dict[int, list[tuple[int, int]]] = {}
-    widths: list[int] = []
-    runs, opened = [], 0
-
-    def free(width: int, first: int, n: int) -> None:
-        if width and n:
-            if width not in gaps:
-                gaps[width] = []
-                insort(widths, width)
-            gaps[width].append((first, n))
-
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            at = bisect_left(widths, length)
-            if at == len(widths):
-                n = -(-left // (capacity // length))
-                free(capacity, opened, n)
-                opened += n
-                continue
-            width = widths[at]
-            first, n = gaps[width].pop()
-            if not gaps[width]:
-                del gaps[width], widths[at]
-            fit = width // length
-            full = min(n, left // fit)
-            last = left - full * fit if full < n else 0
-            for at, many, each in ((first, full, fit), (first + full, min(last, 1), last)):
-                for j in range(each if many else 0):
-                    runs.append((length, rank, at, capacity - width + j * length))
-                    rank, left = rank + many, left - many
-                free(width - each * length, at, many)
-            used = full + min(last, 1)
-            free(width, first + used, n - used)
-    return runs, opened
+    both = gaps.select(F.col("width").alias("size"), F.lit(0).alias("kind"), F.col("gap").alias("id")).union(items.select("length", F.lit(1), "item"))
+    order = [F.desc("size"), F.col("kind"), F.col("id")]
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, widths, held, left = TaskContext.get().partitionId(), 0, [[] for _ in range(capacity + 1)], 0
+        least = capacity
+        names = ["state", "part", "at", "item", "length", "gap", "width"]
+
+        def rows(found: list[tuple[int, ...]]) -> pa.RecordBatch:
+            a = np.array(found, np.int64).reshape(-1, 6)
+            return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(np.full(len(a), part)), *(pa.array(a[:, c]) for c in range(1, 6))], names=names)
+
+        for batch in batches:
+            found = []
+            for size, kind, key in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                least = size
+                if not kind:
+                    held[size].append(key)
+                    widths |= 1 << size
+                    continue
+                wide = widths >> size
+                if not wide:
+                    found.append((1, left, key, size, 0, 0))
+                    left += 1
+                    continue
+                width = size + (wide & -wide).bit_length() - 1
+                gap = held[width].pop()
+                if not held[width]:
+                    widths ^= 1 << width
+                found.append((0, capacity - width, key, size, gap, width))
+                if rest := width - size:
+                    held[rest].append(gap)
+                    widths |= 1 << rest
+            if found:
+                yield rows(found)
+        # places for items of later partitions: none is longer than the least size of this one
+        first, found = 0, []
+        for width in range(capacity, 0, -1):
+            for gap in held[width]:
+                found.append((2, first, 0, width // least, gap, width))
+                first += width // least
+        yield rows(found)
+
+    out = materialize(both.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(fit, "state long, part long, at long, item long, length long, gap long, width long"))
+    kinds = [F.sum(F.when(F.col("state") == k, x).otherwise(0)).alias(n) for n, k, x in (("left", 1, F.lit(1)), ("room", 1, F.col("length")), ("places", 2, F.col("length")))]
+    ended: list[tuple[int, int, int]] = []
+    carried: list[tuple[int, int, int, int, int]] = []
+    n, room = 0, 0
+    for r in out.groupBy("part").agg(*kinds).orderBy("part").collect():
+        at, n, room = 0, n + r["left"], room + r["room"]
+        while at < r["left"] and ended:
+            part, first, end = ended.pop()
+            many = min(r["left"] - at, end - first)
+            carried.append((r["part"], at, many, part, end - many))
+            at += many
+            if end - many > first:
+                ended.append((part, first, end - many))
+        if r["places"]:
+            ended.append((r["part"], 0, r["places"]))
+    placed = out.filter("state = 0").select("item", "gap", F.col("at").alias("offset"))
+    rest, open_ = out.filter("state = 1").select("item", "length", "part", "at"), out.filter("state = 2").select("gap", "width", "part", "at", F.col("length").alias("places"))
+    if not carried:
+        return placed, open_.select("gap", "width"), rest.select("item", "length"), n, room
+    segments = items.sparkSession.createDataFrame(carried, "part long, first long, many long, to long, place long")
+    mine = rest.join(F.broadcast(segments), "part").filter("at >= first AND at < first + many")
+    mine = mine.select("item", "length", F.col("to").alias("part"), (F.col("place") + F.col("at") - F.col("first")).alias("place"))
+    taken = open_.join(F.broadcast(segments.select(F.col("to").alias("part"), "place", "many")), "part").filter("at < place + many AND at + places > place")
+    taken = taken.select("gap", "width", "part", F.explode(F.sequence(F.greatest("at", "place"), F.least(F.col("at") + F.col("places"), F.col("place") + F.col("many")) - 1)).alias("place"))
+    before = F.sum("length").over(Window.partitionBy("gap").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
+    met = materialize(mine.join(taken, ["part", "place"]).select("item", "length", "gap", (capacity - F.col("width") + F.coalesce(before, F.lit(0))).alias("offset")))
+    used = met.groupBy("gap").agg(F.sum("length").alias("used"))
+    narrower = open_.join(used, "gap", "left").select("gap", (F.col("width") - F.coalesce("used", F.lit(0))).alias("width")).filter("width > 0")
+    sums = met.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    rest = rest.select("item", "length").join(met.select("item"), "item", "left_anti")
+    return placed.union(met.select("item", "gap", "offset")), materialize(narrower), materialize(rest), n - sums[0], room - sums[1]
 
 
 def pack(parts: DataFrame, capacity: int = 2048, id_col: str = "doc_id") -> DataFrame:
-    """Adds sequence_id and offset to pieces.
+    """Adds sequence_id and offset to pieces (id, piece, start, length, ids_crc32); repeated rows are packed each.
 
-    Pieces are range-sorted by length, which ranks those of a length by partition sums. The classes' counts, at most
-    capacity rows, are matched to gaps in rounds by best_fit(); its runs, of which there are no more than pairs of a
-    length and a width, say by length and rank where each piece goes. Repeated rows are packed each.
+    Bands of lengths, the longest first, go through rounds of sweep() until none of a band's pieces fits a gap; then
+    new sequences are opened for those that are left, all at once: pieces are ranked by length, and runs of as many as
+    fit for sure share one. Where shorter ones of the band may fill such sequences up, first only as many are opened
+    as the words that are left need. The driver holds a row for each partition and the numbers of a round; state is
+    written after each round, so a lost executor costs the present one. Pieces longer than capacity are an error.
     """
     spark = parts.sparkSession
-    parts = materialize(parts)
-    ranked = running(parts, ["length"], [id_col, "piece"], F.lit(1).cast("long"), "_rank")
-    counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    runs, _ = best_fit(counts, capacity)
-    step = max(counts.values(), default=0) + 1
-    runs = np.array(sorted(runs), np.int64).reshape(-1, 4)
-    sent = spark.sparkContext.broadcast(runs)
-    names = [*parts.columns, "sequence_id", "offset"]
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs = sent.value
-        starts = runs[:, 0] * step + runs[:, 1]
-        for batch in batches:
-            rank = batch.column(batch.schema.get_field_index("_rank")).to_numpy()
-            k = np.searchsorted(starts, batch.column(batch.schema.get_field_index("length")).to_numpy() * step + rank, "right") - 1
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in names[:-2]]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(runs[k, 2] + rank - runs[k, 1]), pa.array(runs[k, 3])], names=names)
-
-    return ranked.mapInArrow(place, T.StructType([*parts.schema, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))
+    parts = materialize(parts.withColumn("_item", F.monotonically_increasing_id()))
+    lengths = parts.select(F.col("_item").alias("item"), "length")
+    many = [F.count_if((F.col("length") > lo) & (F.col("length") <= hi)) for lo, hi in bands(capacity)]
+    counts = lengths.agg(*many).first()
+    gaps = spark.createDataFrame([], "gap long, width long")
+    placed, opened = [], 0
+    for (lo, hi), n in zip(bands(capacity), counts):
+        if not n:
+            continue
+        each, items, openings, room = capacity // hi, lengths.filter((F.col("length") > lo) & (F.col("length") <= hi)), 0, None
+        while n:
+            while n and opened:
+                usable = gaps.filter(F.col("width") > lo)
+                now, after, items, left, room = sweep(items, usable, capacity)
+                placed.append(now)
+                gaps = after.union(gaps.filter(F.col("width") <= lo))
+                if left == n:
+                    break
+                n = left
+            if not n:
+                break
+            if room is None:
+                room = items.agg(F.sum("length")).first()[0]
+            # with lengths above capacity / (each + 1), no more than each fit
+            new = -(-n // each) if openings or lo >= capacity // (each + 1) else max(1, -(-room // capacity))
+            ranked = running(items, [], [F.desc("length"), F.col("item")], F.lit(1).cast("long"), "rank")
+            ranked = materialize(ranked.withColumn("gap", F.when(F.col("rank") < new * each, opened + F.expr(f"rank div {each}"))))
+            before = F.sum("length").over(Window.partitionBy("gap").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1))
+            first = ranked.filter("gap IS NOT NULL")
+            placed.append(first.select("item", "gap", F.coalesce(before, F.lit(0)).cast("long").alias("offset")))
+            fresh = first.groupBy("gap").agg((capacity - F.sum("length")).alias("width")).filter("width > 0")
+            gaps = materialize(gaps.union(fresh))
+            items, n, openings, room = ranked.filter("gap IS NULL").select("item", "length"), max(0, n - new * each), openings + 1, None
+            opened += new
+    where = placed[0] if placed else spark.createDataFrame([], "item long, gap long, offset long")
+    for x in placed[1:]:
+        where = where.union(x)
+    found = parts.join(where, F.col("_item") == F.col("item"))
+    return found.select(*(c for c in parts.columns if c != "_item"), F.col("gap").alias("sequence_id"), "offset")

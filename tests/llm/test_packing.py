@@ -1,29 +1,67 @@
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from stratamill.llm.packing import Encoder, best_fit, pack, pieces
+from stratamill.llm.packing import Encoder, pack, pieces
 
 tokenizers = pytest.importorskip("tokenizers")
 public = pytest.importorskip("public_tokenizers")
 
 
-@given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), max_size=30))
-def test_as_few_as_best_fit_one_by_one(counts):
-    runs, opened = best_fit(counts, 64)
-    gaps = []
-    for length in sorted(counts, reverse=True):
-        for _ in range(counts[length]):
-            if fits := [g for g in gaps if g >= length]:
-                gaps.remove(min(fits))
-                gaps.append(min(fits) - length)
-            else:
-                gaps.append(64 - length)
-    assert opened == len(gaps)
+def best_fit(lengths, capacity):
+    """Number of sequences of best fit one by one, the longest first."""
+    count, opened = Counter(), 0
+    for length in sorted(lengths, reverse=True):
+        width = next((w for w in range(length, capacity + 1) if count[w]), None)
+        if width is None:
+            width, opened = capacity, opened + 1
+        else:
+            count[width] -= 1
+        count[width - length] += 1
+    return opened
+
+
+def check(rows, capacity):
+    """Gapless sequences of no more than capacity; their number."""
+    seqs = defaultdict(list)
+    for r in rows:
+        seqs[r.sequence_id].append((r.offset, r.length))
+    for s in seqs.values():
+        at = 0
+        for o, n in sorted(s):
+            assert o == at
+            at += n
+        assert at <= capacity
+    return len(seqs)
+
+
+SHAPES = {
+    "even": lambda rng: rng.integers(1, 257, 3000),
+    "short": lambda rng: np.minimum(256, rng.geometric(0.04, 3000)),
+    "long": lambda rng: rng.integers(60, 257, 1500),
+    "thirds": lambda rng: rng.choice([85, 86, 128, 129, 64, 256, 1], 2000),
+    "one": lambda rng: np.full(1000, 100),
+    "cut": lambda rng: np.concatenate([np.full(500, 256), rng.integers(1, 257, 400), np.full(2000, 3)]),
+}
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+@pytest.mark.parametrize("parts", [1, 7])
+def test_as_few_sequences_as_best_fit_one_by_one(spark, shape, parts, request):
+    for name, value in (("adaptive.coalescePartitions.enabled", "false"), ("shuffle.partitions", str(parts))):
+        request.addfinalizer(lambda n=f"spark.sql.{name}", v=spark.conf.get(f"spark.sql.{name}"): spark.conf.set(n, v))
+        spark.conf.set(f"spark.sql.{name}", value)
+    lengths = SHAPES[shape](np.random.default_rng(8)).tolist()
+    frame = spark.createDataFrame([(i, 0, 0, n, 0) for i, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long").repartition(4)
+    rows = pack(frame, 256).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(len(lengths)))
+    want = best_fit(lengths, 256)
+    got = check(rows, 256)
+    assert got == want
 
 
 @settings(deadline=None, max_examples=400)
@@ -50,12 +88,4 @@ def test_whole_texts_in_gapless_sequences(odd, docs):
             want += [(r.doc_id, p, s, len(ids[s : s + size]), zlib.crc32(np.array(ids[s : s + size], "<u4").tobytes())) for p, s in enumerate(range(0, len(ids), size))]
         key = lambda x: tuple(-1 if v is None else v for v in x)
         assert sorted((tuple(r)[:5] for r in rows), key=key) == sorted(want, key=key)
-        seqs = defaultdict(list)
-        for r in rows:
-            seqs[r.sequence_id].append((r.offset, r.length))
-        for s in seqs.values():
-            at = 0
-            for o, n in sorted(s):
-                assert o == at
-                at += n
-            assert at <= size
+        check(rows, size)
