@@ -7,6 +7,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratamill.llm.common import materialize, running
+from stratamill.llm.common import BROADCAST_ROWS, materialize
 
 PIECES = T.StructType([T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())])
 
@@ -102,10 +103,29 @@ def bands(capacity: int) -> list[tuple[int, int]]:
     return list(zip([*ends[1:], 0], ends))
 
 
-def sweep(items: DataFrame, gaps: DataFrame, capacity: int) -> tuple[DataFrame, DataFrame, DataFrame, int, int]:
-    """A round: (placed, gaps, items that are left), and how many are left and how many words of room they need.
+@dataclass
+class Round:
+    """What a round leaves: seats (item, gap, offset) of several tables, gaps (gap, width), items that are left
+    (item, length, rank by length), their number, and whether one more round with the same gaps could seat any."""
 
-    Items (item, length) and gaps (gap, width) are range-sorted together, the longest first, gaps before items of
+    seats: list[DataFrame]
+    gaps: DataFrame
+    items: DataFrame
+    left: int
+    again: bool
+
+
+def side_by_side(rows: DataFrame, capacity: int) -> DataFrame:
+    """(item, gap, offset, rest) of rows (item, length, gap, width, place): the items of a gap one after the other by
+    place; rest is the width that is left behind the last of them, null for the others."""
+    by_gap = Window.partitionBy("gap")
+    before = F.sum("length").over(by_gap.orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
+    last = F.col("place") == F.max("place").over(by_gap)
+    return rows.select("item", "gap", (capacity - F.col("width") + F.coalesce(before, F.lit(0))).alias("offset"), F.when(last, F.col("width") - F.sum("length").over(by_gap)).alias("rest"))
+
+
+def sweep(items: DataFrame, gaps: DataFrame, capacity: int) -> Round:
+    """Items (item, length) and gaps (gap, width) are range-sorted together, the longest first, gaps before items of
     their width. Each partition goes through its range: an item goes to the successor of its length among the
     partition's gaps, and what is left of that gap is a gap again. Items that found none are carried to the gaps which
     earlier partitions have left, all of which are wide enough: one row for each partition says how many items and
@@ -115,10 +135,11 @@ def sweep(items: DataFrame, gaps: DataFrame, capacity: int) -> tuple[DataFrame,
     order = [F.desc("size"), F.col("kind"), F.col("id")]
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """State 0: a seat; 1: an item that is left, by rank; 2: a gap and its places; 3: the partition's sums."""
         from pyspark import TaskContext
 
-        part, widths, held, left = TaskContext.get().partitionId(), 0, [[] for _ in range(capacity + 1)], 0
-        least = capacity
+        part, widths, held, left, shortest = TaskContext.get().partitionId(), 0, [[] for _ in range(capacity + 1)], 0, capacity
+        least = None
         names = ["state", "part", "at", "item", "length", "gap", "width"]
 
         def rows(found: list[tuple[int, ...]]) -> pa.RecordBatch:
@@ -136,7 +157,7 @@ def sweep(items: DataFrame, gaps: DataFrame, capacity: int) -> tuple[DataFrame,
                 wide = widths >> size
                 if not wide:
                     found.append((1, left, key, size, 0, 0))
-                    left += 1
+                    left, shortest = left + 1, size
                     continue
                 width = size + (wide & -wide).bit_length() - 1
                 gap = held[width].pop()
@@ -148,94 +169,94 @@ def sweep(items: DataFrame, gaps: DataFrame, capacity: int) -> tuple[DataFrame,
                     widths |= 1 << rest
             if found:
                 yield rows(found)
+        if least is None:
+            return
         # places for items of later partitions: none is longer than the least size of this one
         first, found = 0, []
         for width in range(capacity, 0, -1):
             for gap in held[width]:
                 found.append((2, first, 0, width // least, gap, width))
                 first += width // least
-        yield rows(found)
+        widest = widths.bit_length() - 1 if widths else 0
+        yield rows([*found, (3, left, first, shortest, 0, widest)])
 
+    spark = items.sparkSession
     out = materialize(both.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(fit, "state long, part long, at long, item long, length long, gap long, width long"))
-    kinds = [F.sum(F.when(F.col("state") == k, x).otherwise(0)).alias(n) for n, k, x in (("left", 1, F.lit(1)), ("room", 1, F.col("length")), ("places", 2, F.col("length")))]
     ended: list[tuple[int, int, int]] = []
     carried: list[tuple[int, int, int, int, int]] = []
-    n, room = 0, 0
-    for r in out.groupBy("part").agg(*kinds).orderBy("part").collect():
-        at, n, room = 0, n + r["left"], room + r["room"]
-        while at < r["left"] and ended:
+    ranks, left, widest, shortest = [], 0, 0, capacity
+    for r in sorted(out.filter("state = 3").collect(), key=lambda r: r["part"]):
+        at, mine, places = 0, r["at"], r["item"]
+        while at < mine and ended:
             part, first, end = ended.pop()
-            many = min(r["left"] - at, end - first)
+            many = min(mine - at, end - first)
             carried.append((r["part"], at, many, part, end - many))
             at += many
             if end - many > first:
                 ended.append((part, first, end - many))
-        if r["places"]:
-            ended.append((r["part"], 0, r["places"]))
-    placed = out.filter("state = 0").select("item", "gap", F.col("at").alias("offset"))
+        if places:
+            ended.append((r["part"], 0, places))
+        if at < mine:
+            ranks.append((r["part"], at, left - at))
+            shortest = min(shortest, r["length"])
+        left, widest = left + mine - at, max(widest, r["width"])
     rest, open_ = out.filter("state = 1").select("item", "length", "part", "at"), out.filter("state = 2").select("gap", "width", "part", "at", F.col("length").alias("places"))
-    if not carried:
-        return placed, open_.select("gap", "width"), rest.select("item", "length"), n, room
-    segments = items.sparkSession.createDataFrame(carried, "part long, first long, many long, to long, place long")
-    mine = rest.join(F.broadcast(segments), "part").filter("at >= first AND at < first + many")
-    mine = mine.select("item", "length", F.col("to").alias("part"), (F.col("place") + F.col("at") - F.col("first")).alias("place"))
-    taken = open_.join(F.broadcast(segments.select(F.col("to").alias("part"), "place", "many")), "part").filter("at < place + many AND at + places > place")
-    taken = taken.select("gap", "width", "part", F.explode(F.sequence(F.greatest("at", "place"), F.least(F.col("at") + F.col("places"), F.col("place") + F.col("many")) - 1)).alias("place"))
-    before = F.sum("length").over(Window.partitionBy("gap").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
-    met = materialize(mine.join(taken, ["part", "place"]).select("item", "length", "gap", (capacity - F.col("width") + F.coalesce(before, F.lit(0))).alias("offset")))
-    used = met.groupBy("gap").agg(F.sum("length").alias("used"))
-    narrower = open_.join(used, "gap", "left").select("gap", (F.col("width") - F.coalesce("used", F.lit(0))).alias("width")).filter("width > 0")
-    sums = met.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
-    rest = rest.select("item", "length").join(met.select("item"), "item", "left_anti")
-    return placed.union(met.select("item", "gap", "offset")), materialize(narrower), materialize(rest), n - sums[0], room - sums[1]
+    ranked = rest.join(F.broadcast(spark.createDataFrame(ranks, "part long, from long, before long")), "part").filter("at >= from")
+    found = Round([out.filter("state = 0").select("item", "gap", F.col("at").alias("offset"))], open_.select("gap", "width"), ranked.select("item", "length", (F.col("before") + F.col("at")).alias("rank")), left, widest >= shortest)
+    if carried:
+        segments = F.broadcast(spark.createDataFrame(carried, "part long, first long, many long, to long, place long"))
+        seated = rest.join(segments, "part").filter("at >= first AND at < first + many")
+        seated = seated.select("item", "length", F.col("to").alias("part"), (F.col("place") + F.col("at") - F.col("first")).alias("place"))
+        taken = open_.join(segments.select(F.col("to").alias("part"), F.col("place").alias("start"), "many"), "part").filter("at < start + many AND at + places > start")
+        taken = taken.select("gap", "width", "part", F.explode(F.sequence(F.greatest("at", "start"), F.least(F.col("at") + F.col("places"), F.col("start") + F.col("many")) - 1)).alias("place"))
+        hint = F.broadcast if sum(c[2] for c in carried) <= BROADCAST_ROWS else lambda df: df
+        met = materialize(side_by_side(taken.join(hint(seated), ["part", "place"]), capacity))
+        narrower = met.filter("rest IS NOT NULL").select("gap", F.col("rest").alias("width"))
+        found.seats.append(met.select("item", "gap", "offset"))
+        found.gaps = found.gaps.join(hint(narrower.select("gap")), "gap", "left_anti").union(narrower.filter("width > 0"))
+    return found
 
 
 def pack(parts: DataFrame, capacity: int = 2048, id_col: str = "doc_id") -> DataFrame:
     """Adds sequence_id and offset to pieces (id, piece, start, length, ids_crc32); repeated rows are packed each.
 
     Bands of lengths, the longest first, go through rounds of sweep() until none of a band's pieces fits a gap; then
-    new sequences are opened for those that are left, all at once: pieces are ranked by length, and runs of as many as
-    fit for sure share one. Where shorter ones of the band may fill such sequences up, first only as many are opened
-    as the words that are left need. The driver holds a row for each partition and the numbers of a round; state is
-    written after each round, so a lost executor costs the present one. Pieces longer than capacity are an error.
+    new sequences are opened for those that are left, all at once: runs by rank of as many pieces as fit for sure share
+    one. Where shorter pieces of the band may fill such sequences up, first only as many are opened as the room that
+    is needed. The driver holds a row for each partition and the numbers of a round; what a round finds is written, so
+    a lost executor costs the present one.
     """
     spark = parts.sparkSession
     parts = materialize(parts.withColumn("_item", F.monotonically_increasing_id()))
     lengths = parts.select(F.col("_item").alias("item"), "length")
-    many = [F.count_if((F.col("length") > lo) & (F.col("length") <= hi)) for lo, hi in bands(capacity)]
-    counts = lengths.agg(*many).first()
-    gaps = spark.createDataFrame([], "gap long, width long")
-    placed, opened = [], 0
+    counts = lengths.agg(*(F.count_if((F.col("length") > lo) & (F.col("length") <= hi)) for lo, hi in bands(capacity))).first()
+    gaps, seats, opened, unions = spark.createDataFrame([], "gap long, width long"), [], 0, 0
     for (lo, hi), n in zip(bands(capacity), counts):
-        if not n:
-            continue
-        each, items, openings, room = capacity // hi, lengths.filter((F.col("length") > lo) & (F.col("length") <= hi)), 0, None
+        each, items, openings = capacity // hi, lengths.filter((F.col("length") > lo) & (F.col("length") <= hi)), 0
         while n:
-            while n and opened:
-                usable = gaps.filter(F.col("width") > lo)
-                now, after, items, left, room = sweep(items, usable, capacity)
-                placed.append(now)
-                gaps = after.union(gaps.filter(F.col("width") <= lo))
-                if left == n:
-                    break
-                n = left
+            if unions > 4:
+                gaps, unions = materialize(gaps), 0
+            now = sweep(items, gaps.filter(F.col("width") > lo), capacity)
+            seats += now.seats
+            gaps, unions = now.gaps.union(gaps.filter(F.col("width") <= lo)), unions + 1
+            if now.left and now.again and now.left < n:
+                items, n = now.items.select("item", "length"), now.left
+                continue
+            n = now.left
             if not n:
                 break
-            if room is None:
-                room = items.agg(F.sum("length")).first()[0]
-            # with lengths above capacity / (each + 1), no more than each fit
-            new = -(-n // each) if openings or lo >= capacity // (each + 1) else max(1, -(-room // capacity))
-            ranked = running(items, [], [F.desc("length"), F.col("item")], F.lit(1).cast("long"), "rank")
-            ranked = materialize(ranked.withColumn("gap", F.when(F.col("rank") < new * each, opened + F.expr(f"rank div {each}"))))
-            before = F.sum("length").over(Window.partitionBy("gap").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1))
-            first = ranked.filter("gap IS NOT NULL")
-            placed.append(first.select("item", "gap", F.coalesce(before, F.lit(0)).cast("long").alias("offset")))
-            fresh = first.groupBy("gap").agg((capacity - F.sum("length")).alias("width")).filter("width > 0")
-            gaps = materialize(gaps.union(fresh))
-            items, n, openings, room = ranked.filter("gap IS NULL").select("item", "length"), max(0, n - new * each), openings + 1, None
-            opened += new
-    where = placed[0] if placed else spark.createDataFrame([], "item long, gap long, offset long")
-    for x in placed[1:]:
+            # no more than each fit where all lengths are above capacity / (each + 1)
+            new = -(-n // each) if openings or lo >= capacity // (each + 1) else -(-now.items.agg(F.sum("length")).first()[0] // capacity)
+            first = now.items.filter(F.col("rank") < new * each).select("item", "length", (opened + F.expr(f"rank div {each}")).alias("gap"), F.lit(capacity).cast("long").alias("width"), F.col("rank").alias("place"))
+            if each > 1:
+                met = materialize(side_by_side(first, capacity))
+            else:
+                met = first.select("item", "gap", F.lit(0).cast("long").alias("offset"), (F.col("width") - F.col("length")).alias("rest"))
+            seats.append(met.select("item", "gap", "offset"))
+            gaps, unions = gaps.union(met.filter("rest > 0").select("gap", F.col("rest").alias("width"))), unions + 1
+            items, n, opened, openings = now.items.filter(F.col("rank") >= new * each).select("item", "length"), max(0, n - new * each), opened + new, openings + 1
+    where = spark.createDataFrame([], "item long, gap long, offset long")
+    for x in seats:
         where = where.union(x)
     found = parts.join(where, F.col("_item") == F.col("item"))
     return found.select(*(c for c in parts.columns if c != "_item"), F.col("gap").alias("sequence_id"), "offset")
