@@ -29,6 +29,10 @@ _SEEN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173
 _STANDS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SEEN)}
 
 
+#: Pieces and gaps that one partition of a round goes through.
+ROWS = 200_000
+
+
 class Encoder(dict):
     """Ids of words as bytes. Merges never cross white space, so each distinct word is encoded once while it is held.
 
@@ -124,7 +128,7 @@ def side_by_side(rows: DataFrame, capacity: int) -> DataFrame:
     return rows.select("item", "gap", (capacity - F.col("width") + F.coalesce(before, F.lit(0))).alias("offset"), F.when(last, F.col("width") - F.sum("length").over(by_gap)).alias("rest"))
 
 
-def sweep(items: DataFrame, gaps: DataFrame, capacity: int) -> Round:
+def sweep(items: DataFrame, gaps: DataFrame, capacity: int, parts: int) -> Round:
     """Items (item, length) and gaps (gap, width) are range-sorted together, the longest first, gaps before items of
     their width. Each partition goes through its range: an item goes to the successor of its length among the
     partition's gaps, and what is left of that gap is a gap again. Items that found none are carried to the gaps which
@@ -181,7 +185,8 @@ def sweep(items: DataFrame, gaps: DataFrame, capacity: int) -> Round:
         yield rows([*found, (3, left, first, shortest, 0, widest)])
 
     spark = items.sparkSession
-    out = materialize(both.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(fit, "state long, part long, at long, item long, length long, gap long, width long"))
+    ranged = both.repartitionByRange(parts, *order) if parts > 1 else both.coalesce(1)
+    out = materialize(ranged.sortWithinPartitions(*order).mapInArrow(fit, "state long, part long, at long, item long, length long, gap long, width long"))
     ended: list[tuple[int, int, int]] = []
     carried: list[tuple[int, int, int, int, int]] = []
     ranks, left, widest, shortest = [], 0, 0, capacity
@@ -217,12 +222,12 @@ def sweep(items: DataFrame, gaps: DataFrame, capacity: int) -> Round:
     return found
 
 
-def pack(parts: DataFrame, capacity: int = 2048, id_col: str = "doc_id") -> DataFrame:
+def pack(parts: DataFrame, capacity: int = 2048, id_col: str = "doc_id", rows: int = ROWS) -> DataFrame:
     """Adds sequence_id and offset to pieces (id, piece, start, length, ids_crc32); repeated rows are packed each.
 
     Bands of lengths, the longest first, go through rounds of sweep() until none of a band's pieces fits a gap; then
     new sequences are opened for those that are left, all at once: runs by rank of as many pieces as fit for sure share
-    one. Where shorter pieces of the band may fill such sequences up, first only as many are opened as the room that
+    one. A partition of a round has about so many rows, so rounds with few are one task's. Where shorter pieces of the band may fill such sequences up, first only as many are opened as the room that
     is needed. The driver holds a row for each partition and the numbers of a round; what a round finds is written, so
     a lost executor costs the present one.
     """
@@ -236,7 +241,7 @@ def pack(parts: DataFrame, capacity: int = 2048, id_col: str = "doc_id") -> Data
         while n:
             if unions > 4:
                 gaps, unions = materialize(gaps), 0
-            now = sweep(items, gaps.filter(F.col("width") > lo), capacity)
+            now = sweep(items, gaps.filter(F.col("width") > lo), capacity, -(-(n + opened) // rows))
             seats += now.seats
             gaps, unions = now.gaps.union(gaps.filter(F.col("width") <= lo)), unions + 1
             if now.left and now.again and now.left < n:

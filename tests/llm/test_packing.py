@@ -50,17 +50,17 @@ SHAPES = {
 
 
 @pytest.mark.parametrize("shape", SHAPES)
-@pytest.mark.parametrize("parts", [1, 7])
-def test_as_few_sequences_as_best_fit_one_by_one(spark, shape, parts, request):
-    for name, value in (("adaptive.coalescePartitions.enabled", "false"), ("shuffle.partitions", str(parts))):
-        request.addfinalizer(lambda n=f"spark.sql.{name}", v=spark.conf.get(f"spark.sql.{name}"): spark.conf.set(n, v))
-        spark.conf.set(f"spark.sql.{name}", value)
+@pytest.mark.parametrize("rows", [200_000, 300])
+def test_as_few_sequences_as_best_fit_one_by_one(spark, shape, rows, request):
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    request.addfinalizer(lambda v=spark.conf.get(name): spark.conf.set(name, v))
+    spark.conf.set(name, "false")
     lengths = SHAPES[shape](np.random.default_rng(8)).tolist()
     frame = spark.createDataFrame([(i, 0, 0, n, 0) for i, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long").repartition(4)
-    rows = pack(frame, 256).collect()
-    assert sorted(r.doc_id for r in rows) == list(range(len(lengths)))
+    found = pack(frame, 256, rows=rows).collect()
+    assert sorted(r.doc_id for r in found) == list(range(len(lengths)))
     want = best_fit(lengths, 256)
-    got = check(rows, 256)
+    got = check(found, 256)
     assert got == want
 
 
