@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratamill.llm import words as W
-from stratamill.llm.common import materialize, null_safe
+from stratamill.llm.common import look_up, materialize, null_safe
 
 HEAD = "n_words long, whole_sha256 string"
 #: Words of the grams among which a window's anchor is chosen, and of the prefix that leads a suffix's path.
 GRAM, PREFIX = 6, 3
+#: States of an anchor in a document: not met yet, met in another one, a row that stands for two that met.
+OPEN, HIT, SEEN = 0, 1, 2
 
 
 def anchors(h: np.ndarray, window: int) -> np.ndarray:
@@ -61,11 +63,13 @@ def _dedup(docs: DataFrame, window: int, id_col: str, text_col: str, support: fl
     Windows are judged on the input. Ids are integers; rows with a null id keep all their words and take none from
     others, and rows that share an id don't take from each other. A null text has no words.
 
-    1. Rows with the same words as one with a smaller id lose all their words if a window fits in. Digests that hold
-       over support of all rows are found by a Misra-Gries pass and broadcast (at most 1 / support rows), so copies
-       of a very frequent text go no further.
+    1. Rows with the same words as one with a smaller id lose all their words if a window fits in. Of digests that hold
+       over support of all rows (1 / support at most) the first ids are broadcast, so copies of a very frequent text
+       go no further.
     2. The suffix that starts at a word can only repeat if the least hash among its window's grams, which equal
        windows share, occurs in two documents; about a quarter of the positions have a hash of their own to compare.
+       Hashes that meet within a batch of documents are settled there and send one row, so frequent passages make no
+       large groups; the others meet in a pass over sorted rows that holds one row.
     3. No tree is built, and there are no inner nodes and no maximal repeats: a suffix that is left is cut at the
        window's length, and its path is one hash of that window. Range partitioning by the hash of its first words
        (PREFIX at most), then path, then id gives groups of like size, cutting inside a prefix, a path or even the
@@ -76,11 +80,16 @@ def _dedup(docs: DataFrame, window: int, id_col: str, text_col: str, support: fl
     """
     spark = docs.sparkSession
     head = materialize(heads(docs, id_col, text_col))
-    fits = head.filter(F.col("n_words") >= window)
-    frequent = fits.stat.freqItems(["whole_sha256"], support).select(F.explode("whole_sha256_freqItems").alias("whole_sha256"))
-    heavy = {r[0]: r[1] for r in fits.join(F.broadcast(frequent), "whole_sha256").groupBy("whole_sha256").agg(F.min(id_col)).collect()}
-    firsts = fits.groupBy("whole_sha256").agg(F.min(id_col).alias("_first"), F.max(id_col).alias("_last")).filter("_first < _last").drop("_last")
-    copies = materialize(fits.join(firsts, "whole_sha256").filter(F.col(id_col) > F.col("_first")).select(id_col, "whole_sha256").distinct())
+    fits = head.filter(F.col("n_words") >= window).select(id_col, "whole_sha256")
+    firsts = materialize(fits.groupBy("whole_sha256").agg(F.min(id_col).alias("_first"), F.max(id_col).alias("_last"), F.count("*").alias("_n")))
+    total = firsts.agg(F.sum("_n")).first()[0] or 0
+    firsts = firsts.filter("_first < _last").drop("_last")
+    heavy = {r[0]: r[1] for r in firsts.filter(F.col("_n") > support * total).collect()}
+    copies = look_up(fits, firsts, ["whole_sha256"], "_n").filter(F.col(id_col) > F.col("_first"))
+    copies = materialize(copies.select(id_col, "whole_sha256").distinct())
+    # ids of which every row is a copy; rows that share an id may have different words
+    others = head.join(copies.select(id_col).distinct(), id_col, "left_semi").join(copies, [id_col, "whole_sha256"], "left_anti")
+    gone = copies.select(id_col).distinct().join(others.select(id_col).distinct(), id_col, "left_anti")
     sent = spark.sparkContext.broadcast(heavy)
 
     def emit(ids: pa.Array, rows: np.ndarray, *columns: np.ndarray, names: list[str]) -> pa.RecordBatch:
@@ -109,11 +118,34 @@ def _dedup(docs: DataFrame, window: int, id_col: str, text_col: str, support: fl
                 a, doc = a[order], doc[order]
                 new = np.ones(len(a), bool)
                 new[1:] = (a[1:] != a[:-1]) | (doc[1:] != doc[:-1])
-                yield emit(ids, doc[new], a[new], names=[id_col, "h"])
-
-    marks = docs.select(id_col, text_col).mapInArrow(anchored, f"{id_col} long, h long")
-    shared = marks.groupBy("h").agg(F.min(id_col).alias("_a"), F.max(id_col).alias("_b")).filter("_a < _b").select("h")
-    hits = marks.join(shared, "h").join(copies.select(id_col), id_col, "left_anti")
+                a, doc = a[new], doc[new]
+                # hashes of two documents of this batch: their rows are hits, and one of them stands for all elsewhere
+                order = np.argsort(a, kind="stable")
+                starts = np.flatnonzero(np.append(True, a[order][1:] != a[order][:-1])) if len(a) else np.zeros(0, np.int64)
+                many = np.diff(np.append(starts, len(a))) > 1
+                state = np.full(len(a), OPEN, np.int64)
+                state[order] = np.where(np.repeat(many, np.diff(np.append(starts, len(a)))), HIT, OPEN)
+                one = order[starts[many]]
+                yield emit(ids, np.concatenate([doc, doc[one]]), np.concatenate([a, a[one]]), np.concatenate([state, np.full(len(one), SEEN)]), names=[id_col, "h", "state"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (h, id, state) come by h and id: the open ones of a hash that two ids have, or that was seen twice."""
+        held = [np.zeros(0, np.int64)] * 3
+        for batch in batches:
+            h, ids, state = (np.concatenate([x, batch.column(c).to_numpy()]) for c, x in enumerate(held))
+            if not len(h):
+                continue
+            starts = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            size = np.diff(np.append(starts, len(h)))
+            hit = (np.maximum.reduceat(state, starts) == SEEN) | (np.minimum.reduceat(ids, starts) < np.maximum.reduceat(ids, starts))
+            out = np.repeat(hit, size) & (state == OPEN)
+            # the last hash may go on: what is known of it is held in a row
+            held = [h[-1:], ids[-1:], np.full(1, SEEN if hit[-1] else OPEN)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[out]), pa.array(h[out])], names=[id_col, "h"])
+
+    marks = materialize(docs.select(id_col, text_col).mapInArrow(anchored, f"{id_col} long, h long, state long"))
+    met = marks.filter(F.col("state") != HIT).select("h", id_col, "state").repartition("h").sortWithinPartitions("h", id_col).mapInArrow(meet, f"{id_col} long, h long")
+    hits = marks.filter(F.col("state") == HIT).select(id_col, "h").union(met).join(gone, id_col, "left_anti")
     hits = materialize(hits.groupBy(id_col).agg(F.collect_set("h").alias("_hits")))
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -48,3 +48,12 @@ def test_brute_force(docs, odd, spark):
     assert Counter(tuple(r) for r in substring_dedup(odd, 13).collect()) == brute(odd_rows, 13)
     assert Counter(tuple(r) for r in substring_dedup(odd, 2).collect()) == brute(odd_rows, 2)
     assert substring_dedup(docs([])).count() == 0
+
+
+def test_rows_that_share_an_id_and_have_different_words(docs):
+    t1 = " ".join(f"w{i}" for i in range(40))
+    t2 = " ".join([*(f"w{i}" for i in range(5, 25)), *(f"v{i}" for i in range(30))])
+    rows = [(1, t1, "en", "s"), (2, t1, "en", "s"), (2, t2, "en", "s"), (3, t2, "en", "s"), (3, t1, "en", "s"), (4, t2, "en", "s")]
+    for support in (1e-3, 0.9):
+        got = Counter(tuple(r) for r in substring_dedup(docs(rows), 13, support=support).collect())
+        assert got == brute([r[:2] for r in rows], 13) and sorted(x[2] for x in got if x[0] == 2) == [20, 40]
