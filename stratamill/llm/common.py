@@ -60,6 +60,16 @@ def null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "
     return left.join(renamed, cond, how).drop(*(f"_r_{c}" for c in on))
 
 
+def salted(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", salts: int = 16) -> DataFrame:
+    """Join of rows with a written table that has each key once: broadcast where it is small, else each key of it stands
+    for salts parts of its rows, so that none is one task's."""
+    if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right), list(on), how)
+    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    left = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
+    return left.join(right, [*on, "_salt"], how).drop("_salt")
+
+
 def look_up(rows: DataFrame, info: DataFrame, on: Sequence[str], count: str, support: float = 1e-3) -> DataFrame:
     """rows with the columns of info for their key, null where on has a null or info no such key; a left join.
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratamill.llm import words as W
-from stratamill.llm.common import components, materialize, running
+from stratamill.llm.common import components, look_up, materialize, running
 
 #: Counters of the shingle sketch (2 bytes each), whatever the corpus; and the slices in which they are summed.
 SKETCH, SLICES = 1 << 20, 16
@@ -147,8 +147,9 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "do
 
     A document's set is its distinct k-word shingles, A-Z in lower case; with fewer words all of them are one
     shingle; a null or blank text has none and is linked with nothing. Documents are linked when
-    100 * intersection >= percent * union, and component_id is the least id that links reach. Rows that share an id
-    are one document as far as links go; rows with a null id reach what equal sets reach.
+    100 * intersection >= percent * union, and component_id is the least id that links reach; a null id is the
+    largest. Rows that share an id, or have none, are documents of their own. Other columns are ignored; an empty
+    table gives no rows.
 
     1. Documents with equal sets are one class, and classes with equal prefixes and sizes one group. A prefix is the
        first n - ceil(percent n / 100) + 1 shingles, by a sketch's log count of documents and then by hash: linked
@@ -171,19 +172,20 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "do
             for _, s in shingle_sets(batch.column(1), k):
                 first = len(s) + (percent * len(s) // -100) + 1 if len(s) else 0
                 n.append(len(s))
-                key.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                key.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 bits.append(parity(s) if len(s) else b"")
                 order = (rank[(s >> np.uint64(44)).astype(np.int64)] << np.uint64(59)) | (s >> np.uint64(5))
                 prefix.append(s[np.argsort(order, kind="stable")[:first]].view(np.int64))
             at = np.cumsum([0, *map(len, prefix)])
             lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *prefix])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(bits, pa.binary()), lists], names=[id_col, "n_shingles", "set_key", "bits", "prefix"])
-
-    rows = materialize(docs.select(id_col, text_col).mapInArrow(prefixes, f"{id_col} long, n_shingles long, set_key binary, bits binary, prefix array<long>"))
-    classes = rows.filter(f"n_shingles > 0 AND {id_col} IS NOT NULL").groupBy("n_shingles", "set_key").agg(F.min(id_col).alias("id"))
-    classes = materialize(classes)
-    lead = rows.join(classes.select("set_key", "n_shingles", F.col("id").alias(id_col)), ["set_key", "n_shingles", id_col], "left_semi").dropDuplicates([id_col, "set_key"])
-    lead = materialize(lead.select(F.col(id_col).alias("id"), F.col("n_shingles").alias("n"), "bits", "prefix", F.sha2(F.array_join(F.col("prefix").cast("array<string>"), ","), 256).alias("group_key")))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(bits, pa.binary()), lists], names=["doc", "row", "n_shingles", "set_key", "bits", "prefix"])
+
+    # a number for an id and its text, by which texts are found again
+    own = F.xxhash64(id_col, text_col).alias("row")
+    rows = materialize(docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), own).mapInArrow(prefixes, "doc long, row long, n_shingles long, set_key binary, bits binary, prefix array<long>"))
+    classes = rows.filter("n_shingles > 0").groupBy("n_shingles", "set_key").agg(F.min("doc").alias("rep"), F.min("row").alias("row"), F.count("*").alias("copies"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
+    classes = materialize(classes.withColumn("id", F.monotonically_increasing_id()))
+    lead = materialize(classes.select("id", F.col("n_shingles").alias("n"), "bits", "prefix", F.sha2(F.array_join(F.col("prefix").cast("array<string>"), ","), 256).alias("group_key")))
     groups = lead.groupBy("n", "group_key").agg(F.min("id").alias("gid"), F.count("*").alias("members"))
     members = materialize(lead.select("id", "n", "bits", "group_key").join(groups, ["n", "group_key"]).select("gid", "id", "n", "bits", "members"))
     tokens = lead.join(members.filter("id = gid").select("id"), "id", "left_semi").select(F.explode("prefix").alias("token"), F.col("id").alias("gid"), "n")
@@ -256,9 +258,11 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "do
     left = materialize(tasks.groupBy("unit", "p", "q").applyInPandas(clusters, "cluster binary, id long").distinct())
 
     # texts are shorter than their sets, so they are what is sent to the clusters
-    texts = once(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    texts = docs.select(own, F.col(text_col).alias("text"))
+    asked = left.join(classes.select("id", "row"), "id")
 
     def verify(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.drop_duplicates("id")  # equal rows have one number
         ids = frame["id"].to_numpy()
         sets = [s for _, s in shingle_sets(pa.array(frame["text"], pa.string()), k)]
         common, n = overlaps(sets), np.array([len(s) for s in sets])
@@ -266,18 +270,13 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "do
         np.fill_diagonal(linked, False)
         return pd.DataFrame([(int(ids[x]), int(ids[y])) for x, y in forest(linked)], columns=["a", "b"], dtype=np.int64)
 
-    edges = left.join(texts, "id").groupBy("cluster").applyInPandas(verify, "a long, b long")
+    edges = asked.join(texts, "row").groupBy("cluster").applyInPandas(verify, "a long, b long")
     reach = components(edges)
-    found = classes.join(reach, "id", "left").select("n_shingles", "set_key", F.coalesce("component_id", "id").alias("component_id"))
-    out = rows.select(id_col, "n_shingles", "set_key").join(found, ["n_shingles", "set_key"], "left")
-    return out.select(id_col, "n_shingles", F.coalesce("component_id", F.col(id_col)).alias("component_id"))
-
-
-def once(rows: DataFrame) -> DataFrame:
-    """rows (id, text) without rows that are repeated; they are only sought where an id occurs again."""
-    if rows.groupBy("id").count().filter("count > 1 AND id IS NOT NULL").isEmpty():
-        return rows
-    return rows.dropDuplicates(["id", "text"])
+    info = classes.select("id", "n_shingles", "set_key", "rep", "copies").join(reach, "id", "left").withColumn("root", F.coalesce("component_id", "id"))
+    least = info.groupBy("root").agg(F.min("rep").alias("component"))
+    info = materialize(info.join(least, "root").select("n_shingles", "set_key", "copies", "component"))
+    out = look_up(rows.select("doc", "n_shingles", "set_key"), info, ["n_shingles", "set_key"], "copies")
+    return out.select(F.col("doc").alias(id_col), "n_shingles", F.coalesce("component", "doc").alias("component_id"))
 
 
 def close(held: list[tuple[int, int]], leader, percent: int) -> list[tuple[int, int, int, int]]:

@@ -90,14 +90,14 @@ def op1_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH raw AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
 l AS (SELECT doc_id, i, line, list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS w FROM raw),
 k AS (SELECT doc_id, i, w, len(w) AS n, w[1:2] AS head FROM l WHERE len(w) > 0),
-leaf AS (SELECT n, head FROM k GROUP BY ALL HAVING count(DISTINCT doc_id) >= 10),
-near AS (SELECT k.* FROM k JOIN leaf USING (n, head)),
-cell AS (SELECT n, head, pos, w[pos] AS token, count(*) AS c FROM (SELECT n, head, w, unnest(range(1, n + 1)) AS pos FROM near) GROUP BY ALL),
-top AS (SELECT n, head, pos, token FROM cell QUALIFY row_number() OVER (PARTITION BY n, head, pos ORDER BY c DESC, token DESC) = 1),
-template AS (SELECT n, head, list(token ORDER BY pos) AS t FROM top GROUP BY ALL),
-follows AS (SELECT n, head, doc_id, i FROM near JOIN template USING (n, head) WHERE 100 * len(list_filter(range(1, n + 1), lambda p: w[p] = t[p])) >= 60 * n),
-recurring AS (SELECT n, head FROM follows GROUP BY ALL HAVING count(DISTINCT doc_id) >= 10),
-gone AS (SELECT DISTINCT doc_id, i FROM follows JOIN recurring USING (n, head)),
+leaf AS (SELECT n, head FROM k GROUP BY ALL HAVING count(DISTINCT doc_id) >= 5),
+near AS (SELECT n, head, doc_id, i, unnest(w) AS token, generate_subscripts(w, 1) AS pos FROM k JOIN leaf USING (n, head)),
+constant AS (SELECT n, head, pos, token, 1 AS c FROM near WHERE token <> '<*>' GROUP BY n, head, pos, token HAVING count(*) >= 5),
+parsed AS (SELECT n, head, doc_id, i, list(CASE WHEN c = 1 THEN token ELSE '<*>' END ORDER BY pos) AS t, count(*) FILTER (WHERE pos > 2 AND c = 1) AS fixed,
+           count(*) FILTER (WHERE pos > 2 AND token <> '<*>') AS words, bool_or(token <> '<*>') AS named FROM near LEFT JOIN constant USING (n, head, pos, token) GROUP BY n, head, doc_id, i),
+firm AS (SELECT n, head, t, doc_id, i FROM parsed WHERE CASE WHEN n > 2 THEN fixed > 0 AND 100 * fixed >= 50 * words ELSE named END),
+recurring AS (SELECT n, head, t FROM firm GROUP BY ALL HAVING count(DISTINCT doc_id) >= 5),
+gone AS (SELECT DISTINCT doc_id, i FROM firm JOIN recurring USING (n, head, t)),
 per AS (SELECT raw.doc_id, count(*) FILTER (WHERE regexp_matches(line, '[^\x20\x09-\x0D]')) AS n_lines, count(gone.i) AS n_dropped,
         coalesce(string_agg(line, chr(10) ORDER BY raw.i) FILTER (WHERE gone.i IS NULL), '') AS kept
         FROM raw LEFT JOIN gone ON raw.doc_id = gone.doc_id AND raw.i = gone.i GROUP BY 1)

@@ -43,6 +43,8 @@ def test_brute_force(docs, odd, monkeypatch, pairs, block):
                 w[rnd.randrange(len(w))] = f"W{rnd.randint(0, 500)}"
             rows.append((len(rows) * 7 % 1009, " ".join(w).upper() if rnd.random() < 0.2 else "  ".join(w), "en", "s"))
     rows += [(5000 + i, "one two three four five six seven eight", "en", "s") for i in range(30)] + [rows[3], (None, rows[4][1], "en", "s")]
+    long = [f"v{i}" for i in range(60)]
+    rows += [(i, " ".join([*long, *w]), "en", "s") for i, w in ((None, ["x"]), (None, ["y"]), (7001, ["z"]), (7002, long), (7002, ["z", "a"]), (7003, [*long, "b"]))]
     got = Counter(tuple(r) for r in ngram_join(docs(rows)).collect())
     assert got == brute([r[:2] for r in rows], 4, 85)
     if pairs == 12:
