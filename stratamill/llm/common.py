@@ -48,6 +48,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or name with as many underscores after it as no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most so many rows, else as it is; df should be a written table."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
@@ -87,20 +95,23 @@ def look_up(rows: DataFrame, info: DataFrame, on: Sequence[str], count: str, sup
     return none.unionByName(light.join(info.filter(F.col(count) <= support * total), list(on), "left"))
 
 
-def running(df: DataFrame, group: Sequence[str], order: Sequence[str | Column], value: Column, name: str) -> DataFrame:
-    """Adds the sum of value over the earlier rows of the same group.
+def running(df: DataFrame, group: Sequence[str], order: Sequence[str | Column], value: Column | Sequence[Column], name: str | Sequence[str]) -> DataFrame:
+    """Adds the sum of value over the earlier rows of the same group; of several values, if there are several names.
 
     Rows are range-sorted, so a group that holds most rows spans many partitions; what each partition adds to a
     group is one row, and only those rows are summed by group. No group has to fit in a task.
     """
-    ranged = df.withColumn("_v", value).repartitionByRange(*(F.col(c) for c in group), *order).withColumn("_pid", F.spark_partition_id())
+    values, names = ([value], [name]) if isinstance(name, str) else (value, name)
+    temp = {f"_v{i}": v for i, v in enumerate(values)}
+    ranged = df.withColumns(temp).repartitionByRange(*(F.col(c) for c in group), *order).withColumn("_pid", F.spark_partition_id())
     ranged = materialize(ranged)
     ahead = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    parts = ranged.groupBy("_pid", *group).agg(F.sum("_v").alias("_part"))
-    parts = parts.select("_pid", *group, F.coalesce(F.sum("_part").over(ahead), F.lit(0)).alias("_before"))
+    parts = ranged.groupBy("_pid", *group).agg(*(F.sum(v).alias(f"_part{v}") for v in temp))
+    parts = parts.select("_pid", *group, *(F.coalesce(F.sum(f"_part{v}").over(ahead), F.lit(0)).alias(f"_before{v}") for v in temp))
     here = Window.partitionBy("_pid", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    summed = null_safe(ranged, parts, ["_pid", *group]).withColumn(name, F.col("_before") + F.coalesce(F.sum("_v").over(here), F.lit(0)))
-    return summed.drop("_pid", "_v", "_before")
+    sums = {n: F.col(f"_before{v}") + F.coalesce(F.sum(v).over(here), F.lit(0)) for n, v in zip(names, temp)}
+    summed = null_safe(ranged, parts, ["_pid", *group]).withColumns(sums)
+    return summed.drop("_pid", *temp, *(f"_before{v}" for v in temp))
 
 
 def components(edges: DataFrame) -> DataFrame:

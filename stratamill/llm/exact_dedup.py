@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratamill.llm.common import SPACE, keep_rows, materialize
+from stratamill.llm.common import SPACE, fresh, keep_rows, materialize
 
 
 def text_sha256(text_col: str) -> Column:
@@ -15,9 +15,10 @@ def text_sha256(text_col: str) -> Column:
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with docs' own columns."""
-    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col(id_col), F.col("text_sha256").alias("_sha256"))
-    tagged = docs.withColumn("_sha256", text_sha256(text_col))
-    return keep_rows(tagged, kept, [id_col, "_sha256"]).select(*docs.columns)
+    digest = fresh(docs, "_sha256")
+    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col(id_col), F.col("text_sha256").alias(digest))
+    tagged = docs.withColumn(digest, text_sha256(text_col))
+    return keep_rows(tagged, kept, [id_col, digest]).select(*docs.columns)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = 1e-3) -> DataFrame:

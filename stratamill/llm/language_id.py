@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratamill.llm import words as W
+from stratamill.llm.common import fresh, materialize, small
 
 #: Classes of the hashed byte n-grams.
 FEATURES = 4096
@@ -70,18 +71,20 @@ def held_out(id_col: str) -> Column:
     return F.crc32(F.encode(F.coalesce(F.col(id_col).cast("string"), F.lit("")), "UTF-8")) % 4 == 2
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400, rounds: int = 150) -> Model | None:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400, most: int = 8_000, rounds: int = 150) -> Model | None:
     """Learns from labelled rows that aren't held out; None if there is none.
 
-    The sample is bounded: of each language the per_language rows whose ids' hashes are least, spread over all rows.
-    Only their feature vectors, one size for any text, come to the driver. Each bit of the codewords is a logistic
+    The sample is bounded: of each language the per_language rows whose ids' hashes are least, spread over all rows,
+    or fewer where that would be more than most rows in all (one at least). Only their feature vectors, one size for any text, come to the driver. Each bit of the codewords is a logistic
     classifier, languages weighing alike.
     """
-    known = docs.filter(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).withColumn("_h", F.pmod(F.xxhash64(id_col), F.lit(1_000_000)))
-    counts = known.groupBy(lang_col).agg(F.count("*").alias("_n"))
-    near = known.join(F.broadcast(counts), lang_col).filter(F.col("_h") * F.col("_n") <= F.lit(1_000_000 * 2) * per_language)
-    order = Window.partitionBy(lang_col).orderBy("_h", id_col)
-    sample = near.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= per_language).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter(~held_out("id") & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    known = known.withColumn("h", F.pmod(F.xxhash64("id"), F.lit(1_000_000)))
+    counts = materialize(known.groupBy("lang").agg(F.count("*").alias("n")))
+    per_language = max(1, min(per_language, most // max(1, counts.count())))
+    near = known.join(small(counts), "lang").filter(F.col("h") * F.col("n") <= 1_000_000 * (2 * per_language + 50))
+    order = Window.partitionBy("lang").orderBy("h", "id")
+    sample = near.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_language).select("lang", "text")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,12 +111,14 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text", unsure: float = 0.05) -> DataFrame:
-    """docs with lang_pred, score and ambiguous; only the text is looked at.
+    """docs with lang_pred, score and ambiguous; only the text is looked at. Where docs has a column of such a name, the
+    new one's has an underscore more.
 
     lang_pred is und, with score 0, where the text is null, has no letter or no language was learned. score is the
     likelihood share of the nearest codeword; ambiguous says that it leads the next by less than unsure.
     """
-    spark, extra = docs.sparkSession, [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())]
+    spark = docs.sparkSession
+    extra = [T.StructField(fresh(docs, n), t) for n, t in (("lang_pred", T.StringType()), ("score", T.DoubleType()), ("ambiguous", T.BooleanType()))]
     sent, at = spark.sparkContext.broadcast(model), docs.columns.index(text_col)
     names = [*docs.columns, *(f.name for f in extra)]
     letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
@@ -131,10 +136,15 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", unsure
             lang = [model.languages[b] if k else UNKNOWN for b, k in zip(best, known)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n_cols], pa.array(lang, pa.string()), pa.array(np.where(known, score, 0.0)), pa.array(known & (lead < unsure))], names=names)
 
-    return docs.withColumn("_letters", letters).mapInArrow(label, T.StructType([*docs.schema, *extra]))
+    return docs.withColumn(fresh(docs, "_letters"), letters).mapInArrow(label, T.StructType([*docs.schema, *extra]))
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """id, held_out, lang_pred, score, ambiguous for each row of docs."""
-    found = predict(docs.select(id_col, text_col), fit(docs, id_col, text_col, lang_col), text_col)
-    return found.select(id_col, held_out(id_col).alias("held_out"), "lang_pred", "score", "ambiguous")
+    """id, held_out, lang_pred, score, ambiguous for each row of docs.
+
+    Texts are taken whole, however long; repeated rows are labelled each, equal texts alike. A null id is in no fold of
+    those held out. Other columns are ignored; an empty table gives no rows.
+    """
+    model = fit(docs, id_col, text_col, lang_col)
+    found = predict(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), model, "_text")
+    return found.select(F.col("_id").alias(id_col), held_out("_id").alias("held_out"), "lang_pred", "score", "ambiguous")

@@ -27,11 +27,24 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-@query()
+@query(r"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS n, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM d GROUP BY 1),
+w AS (SELECT *, [5.0::DOUBLE, 2.0, 1.0][k % 3 + 1] AS w, 2.0::DOUBLE * n AS cap, 2.0::DOUBLE * n / [5.0::DOUBLE, 2.0, 1.0][k % 3 + 1] AS ratio FROM s),
+l AS (SELECT *, (1.5::DOUBLE * sum(n) OVER () - coalesce(sum(cap) OVER f, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER f, 0)) AS level
+      FROM w WINDOW f AS (ORDER BY ratio, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, n, k % 3 AS class, least(cap, coalesce((SELECT level FROM l WHERE level <= ratio ORDER BY ratio, k LIMIT 1) * w, cap)) AS target FROM l),
+c AS (SELECT doc_id, size, n, class, target, round(target)::BIGINT AS goal, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5(doc_id::VARCHAR) NULLS FIRST, doc_id NULLS FIRST, size
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS c FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+p AS (SELECT *, greatest(least(goal - c, size), 0) AS one, greatest(least(goal - c - n, size), 0) AS two FROM c),
+u AS (SELECT *, CASE WHEN one > 0 THEN (c + one / 2.0::DOUBLE) / goal END AS u FROM p)
+SELECT doc_id, size, n AS source_size, target, one + two AS taken, round(CASE class WHEN 0 THEN 2 * u / (1.5 + sqrt(2.25 - 2 * u)) WHEN 1 THEN u
+  ELSE CASE WHEN u * 0.9375 < 0.3125 THEN 2 * (u * 0.9375) / (0.5 + sqrt(0.25 + u * 0.9375)) ELSE 0.5 + 2 * (u * 0.9375 - 0.3125) / (0.75 + sqrt(0.5625 + 4 * (u * 0.9375 - 0.3125))) END END, 9) AS position FROM u
+""")
 def op2_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each document stands in a curriculum that takes sources to their target weights."""
     found = curriculum.curriculum(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "size", "source_size", "target", "taken", "position")
+    return found.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 9).alias("position"))
 
 
 @query()

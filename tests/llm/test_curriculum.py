@@ -30,7 +30,7 @@ def check(frame):
     for r in rows:
         sizes[r.source] += r.size
         taken[r.source] += r.taken
-        assert 0 <= r.taken <= 2 * r.size and all(0 <= p <= 1 for p in r.positions)
+        assert 0 <= r.taken <= 2 * r.size and all(0 <= t.position <= 1 for t in r.takes) and sum(t.words for t in r.takes) == r.taken
     want = filled(sizes)
     for r in rows:
         assert r.source_size == sizes[r.source] and r.target == pytest.approx(want[r.source])
