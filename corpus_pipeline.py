@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratamill.llm import curriculum, exact_dedup, language_id, ngram_join, packing
-from stratamill.llm.common import keep_rows, materialize, null_safe, running, table
+from stratamill.llm.common import WORD, fresh, keep_rows, materialize, null_safe, running, table
 from stratamill.llm.queries import word_tokenizer
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which no language is recognised: null texts and texts without a letter."""
+    """Drops documents that have no letter and those whose language is ambiguous: two codewords are about as near."""
     found = language_id.predict(docs, language_id.fit(docs))
-    return found.filter(F.col("lang_pred") != language_id.UNKNOWN).select(*docs.columns)
+    lang, _, ambiguous = found.columns[-3:]
+    return found.filter((F.col(lang) != language_id.UNKNOWN) & ~F.col(ambiguous)).select(*docs.columns)
 
 
 def one_of_equals(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,13 +23,14 @@ def one_of_equals(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def with_own_ids(docs: DataFrame) -> DataFrame:
-    """docs with a number _id of its own for each pair of doc_id and text: doc_id where that is one, else the place by doc_id, null last."""
+    """docs with, last, a number of its own for each pair of doc_id and text: doc_id where that is one, else the place by doc_id, null last."""
     if docs.groupBy("doc_id").count().filter("doc_id IS NULL OR count > 1").isEmpty():
-        return docs.withColumn("_id", F.col("doc_id"))
-    tagged = docs.withColumn("_sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
-    pairs = materialize(tagged.select("doc_id", "_sha256").distinct())
-    numbered = running(pairs, [], [F.col("doc_id").asc_nulls_last(), F.col("_sha256").asc()], F.lit(1), "_id")
-    return materialize(null_safe(tagged, numbered, ["doc_id", "_sha256"]).drop("_sha256"))
+        return docs.withColumn(fresh(docs, "_id"), F.col("doc_id"))
+    own, digest = fresh(docs, "_id"), fresh(docs, "_sha256")
+    tagged = docs.withColumn(digest, F.sha2(F.coalesce("text", F.lit("")), 256))
+    pairs = materialize(tagged.select("doc_id", digest).distinct())
+    numbered = running(pairs, [], [F.col("doc_id").asc_nulls_last(), F.col(digest).asc()], F.lit(1).cast("long"), own)
+    return materialize(null_safe(tagged, numbered, ["doc_id", digest]).drop(digest))
 
 
 def one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,16 +38,29 @@ def one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Different texts under a null or shared doc_id are documents of their own.
     """
-    own = with_own_ids(docs)
-    found = ngram_join.ngram_join(own, k=5, percent=80, id_col="_id").filter("_id = component_id")
-    return keep_rows(own, found, ["_id"]).select(*docs.columns)
+    numbered = with_own_ids(docs)
+    own = numbered.columns[-1]
+    found = ngram_join.ngram_join(numbered, k=5, percent=80, id_col=own).filter(F.col(own) == F.col("component_id"))
+    return keep_rows(numbered, found, [own]).select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in curriculum order, each as often as at least half of it is taken; documents that aren't taken go."""
-    plan = curriculum.curriculum(docs).select("doc_id", F.explode("positions").alias("_position"))
-    placed = null_safe(docs, materialize(plan), ["doc_id"])
-    return placed.orderBy("_position", "doc_id").select(*docs.columns)
+    """Documents in curriculum order, each as often as words of it are taken.
+
+    Where a source's target ends within a document, that time of it is cut to its first words, white space being one
+    space there, and n_chars, if there is such a column, is that of what stays; so a source's words are its target,
+    rounded. Documents that aren't taken go.
+    """
+    own = with_own_ids(docs)
+    key, at, words = own.columns[-1], fresh(own, "_position"), fresh(own, "_words")
+    plan = curriculum.curriculum(own, id_col=key).select(key, "size", F.explode("takes").alias("take"))
+    plan = plan.select(key, F.col("take.position").alias(at), F.when(F.col("take.words") < F.col("size"), F.col("take.words")).alias(words))
+    placed = own.join(materialize(plan.distinct()), key)
+    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.col(words).cast("int")), " ")
+    placed = placed.withColumn("text", F.when(F.col(words).isNull(), F.col("text")).otherwise(cut))
+    if "n_chars" in docs.columns:
+        placed = placed.withColumn("n_chars", F.when(F.col(words).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return placed.orderBy(at, key).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
