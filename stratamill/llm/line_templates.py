@@ -42,15 +42,21 @@ def line_templates(docs: DataFrame, depth: int = 2, share: int = 50, min_docs: i
     lines = lines.withColumn("w", F.array_remove(F.split("raw", f"{SPACE}+"), "")).filter("size(w) > 0")
     leaf = F.xxhash64(F.size("w"), fields(F.slice("w", 1, depth)))
     leaves = lines.select(leaf.alias("leaf"), "id").distinct().groupBy("leaf").agg(F.count("*").alias("docs")).filter(F.col("docs") >= min_docs)
-    near = materialize(salted(lines.withColumn("leaf", leaf), materialize(leaves.select("leaf")), ["leaf"]).select("leaf", "id", "key", "line", fields(F.col("w")).alias("w")).dropDuplicates(["id", "key", "line"]))
-    cells = near.select("leaf", F.posexplode("w").alias("at", "token"))
-    constants = materialize(cells.filter(F.col("token") != FIELD).groupBy("leaf", "at", "token").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("leaf", "at", "token"))
-    marked = salted(near.select("leaf", "id", "key", "line", F.size("w").alias("n"), F.posexplode("w").alias("at", "token")), constants.withColumn("constant", F.lit(1)), ["leaf", "at", "token"], "left")
+    near = salted(lines.withColumn("leaf", leaf), materialize(leaves.select("leaf")), ["leaf"]).select("leaf", "id", "key", "line", fields(F.col("w")).alias("w"))
+    near = materialize(near.withColumn("look", F.xxhash64("w")))
+    if not near.groupBy("id", "key", "line").count().filter("count > 1").isEmpty():
+        near = materialize(near.dropDuplicates(["id", "key", "line"]))
+    # lines of a leaf that look alike are taken apart once
+    looks = materialize(near.groupBy("leaf", "look").agg(F.count("*").alias("lines"), F.first("w").alias("w")))
+    cells = looks.select("leaf", "look", "lines", F.size("w").alias("n"), F.posexplode("w").alias("at", "token"))
+    constants = materialize(cells.filter(F.col("token") != FIELD).groupBy("leaf", "at", "token").agg(F.sum("lines").alias("lines")).filter(F.col("lines") >= min_docs).select("leaf", "at", "token"))
+    marked = salted(cells.drop("lines"), constants.withColumn("constant", F.lit(1)), ["leaf", "at", "token"], "left")
     after = F.when(F.col("at") >= depth, 1).otherwise(0)
     template = F.bit_xor(F.xxhash64("at", F.when(F.col("constant") == 1, F.col("token")).otherwise(FIELD))).alias("template")
-    parsed = marked.groupBy("leaf", "id", "key", "line", "n").agg(template, F.sum(after * F.coalesce("constant", F.lit(0))).alias("fixed"), F.sum(after * (F.col("token") != FIELD).cast("int")).alias("words"), F.max(F.col("token") != FIELD).alias("named"))
+    parsed = marked.groupBy("leaf", "look", "n").agg(template, F.sum(after * F.coalesce("constant", F.lit(0))).alias("fixed"), F.sum(after * (F.col("token") != FIELD).cast("int")).alias("words"), F.max(F.col("token") != FIELD).alias("named"))
     firm = F.when(F.col("n") > depth, (F.col("fixed") > 0) & (100 * F.col("fixed") >= share * F.col("words"))).otherwise(F.col("named"))
-    parsed = materialize(parsed.filter(firm).select("leaf", "template", "id", "key", "line"))
+    parsed = materialize(parsed.filter(firm).select("leaf", "look", "template"))
+    parsed = materialize(salted(near.select("leaf", "look", "id", "key", "line"), parsed, ["leaf", "look"]).drop("look"))
     recurring = parsed.select("leaf", "template", "id").distinct().groupBy("leaf", "template").agg(F.count("*").alias("docs")).filter(F.col("docs") >= min_docs)
     gone = salted(parsed, materialize(recurring.select("leaf", "template")), ["leaf", "template"]).groupBy(F.col("id").alias(id_col), F.col("key").alias("_key")).agg(F.array_sort(F.collect_set("line")).alias("_gone"))
     rows = null_safe(docs.select(id_col, text_col).withColumn("_key", F.xxhash64(text)), gone, [id_col, "_key"], "left")
