@@ -58,10 +58,25 @@ def projection_tokens(text: Column) -> Column:
     return F.filter(F.transform(raw, lambda t: F.btrim(t, F.lit("._-"))), lambda t: (F.length(t) >= 2) & ~t.isin(STOP_WORDS))
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value evaluated once however often body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def interface_hits(tokens: Column) -> Column:
-    """Interface words that a token extends, or that extend a token of four or more characters; in order."""
-    near = lambda v: F.exists(tokens, lambda t: t.startswith(v) | (v.startswith(t) & (F.length(t) >= 4)))
-    return F.filter(words_of(sorted(INTERFACE)), near)
+    """Interface words that a token extends, or that extend a token of four or more characters; in order.
+
+    The tokens become one text with a line break on either side of each, in which each word and its beginnings are sought.
+    """
+
+    def near(v: str, line: Column) -> Column:
+        parts = [f"\n{v}", *(f"\n{v[:n]}\n" for n in range(4, len(v)))]
+        hit = line.contains(parts[0])
+        for x in parts[1:]:
+            hit = hit | line.contains(x)
+        return F.when(hit, v)
+
+    return let(F.concat(F.lit("\n"), F.array_join(tokens, "\n"), F.lit("\n")), lambda line: F.array_compact(F.array(*(near(v, line) for v in sorted(INTERFACE)))))
 
 
 def lexical_tokens(text: Column) -> Column:
@@ -71,8 +86,8 @@ def lexical_tokens(text: Column) -> Column:
 
 def trigrams(text: Column) -> Column:
     s = F.trim(F.regexp_replace(F.lower(empty_text(text)), r"\s+", " "))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - 2, F.lit(1))), lambda i: F.substring(s, i, F.lit(3)))
-    return F.when(F.length(s) >= 3, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+    grams = lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - 3), lambda i: F.concat(c[i], c[i + 1], c[i + 2]))
+    return let(F.regexp_extract_all(s, F.lit("(?s)."), F.lit(0)), lambda c: F.when(F.size(c) >= 3, F.array_distinct(grams(c))).otherwise(F.array().cast("array<string>")))
 
 
 def jaccard(a: Column, b: Column, empty: float) -> Column:

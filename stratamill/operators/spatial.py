@@ -12,9 +12,13 @@ SLACK = 1.001
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df from a reliable checkpoint, in the folder that the session names or, where it names none, a temporary one."""
+    """df from a reliable checkpoint, in the folder that the session names or, where it names none and runs on one machine, a temporary one."""
     context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None and (named := df.sparkSession.conf.get("spark.checkpoint.dir", None)):
+        context.setCheckpointDir(named)
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="stratamill-"))
     return df.checkpoint()
 

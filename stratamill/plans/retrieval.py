@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratamill.functions import text as X
+from stratamill.operators.spatial import cut
 from stratamill.plans.catalog import catalog
 from stratamill.session import table
 
@@ -22,26 +23,32 @@ lex AS (SELECT doc_id, count(*) / (SELECT count(*) FROM q) AS lex FROM d, q WHER
 SELECT doc_id, round(b, 5) AS bm25, round(coalesce(lex, 0), 5) AS lex, round(0.25 * coalesce(lex, 0) + 0.25 * b, 5) AS score
 FROM (SELECT doc_id, s / (SELECT max(s) FROM raw) AS b FROM raw) LEFT JOIN lex USING (doc_id) ORDER BY round(0.25 * coalesce(lex, 0) + 0.25 * b, 9) DESC, doc_id LIMIT 20""")
 def f8_bm25_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Twenty best documents for the first benchmark text by BM25 over token sets and word overlap (f9 without a cosine).
+    """Twenty best documents for the first benchmark text by BM25 over token sets and word overlap (f9 has the cosine).
 
-    A pass counts the query's terms, a pass finds the greatest score: one row each comes to the driver, and no token is shuffled.
+    Each text is tokenised once, and what is kept of it are the query's terms it has; the query's terms and, for them,
+    the numbers of documents are as many as one text has words.
     """
+    scored = bm25(spark, sf_dir)
+    best = scored.withColumn("f", 0.25 * F.col("lex") + 0.25 * F.col("b")).orderBy(F.desc(F.round("f", 9)), "doc_id").limit(20)
+    return best.select("doc_id", F.round("b", 5).alias("bm25"), F.round("lex", 5).alias("lex"), F.round("f", 5).alias("score"))
+
+
+def bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, b (BM25 over its greatest value), lex (share of the query's words in the first 800 characters) of documents with a term."""
     first = table(spark, sf_dir, "benchmark").orderBy("item_id").limit(1)
     terms = first.select(X.retrieval_tokens(F.col("text")).alias("t")).first()["t"]
-    docs = table(spark, sf_dir, "documents").select("doc_id", X.retrieval_tokens(F.col("text")).alias("t"), X.retrieval_tokens(F.substring("text", 1, 800)).alias("head"))
-    stats = docs.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avgdl"), *(F.count_if(F.array_contains("t", w)).alias(f"c{i}") for i, w in enumerate(terms))).first()
-    part = K1 + 1
-    length = 1 + K1 * (1 - B + B * F.greatest(F.size("t"), F.lit(1)) / stats["avgdl"])
-    total = F.lit(0.0)
-    for i, w in enumerate(terms):
-        c = stats[f"c{i}"]
-        total = total + F.when(F.array_contains("t", w), F.log(F.lit(1 + (stats["n"] - c + 0.5) / (c + 0.5))) * part / length).otherwise(0.0)
-    query_set = X.words_of(terms)
-    scored = docs.select("doc_id", total.alias("s"), (F.size(F.array_intersect("head", query_set)) / len(terms)).alias("lex")).filter("s > 0")
+    asked = X.words_of(terms)
+    found = X.let(X.retrieval_tokens(F.col("text")), lambda t: F.struct(F.size(t).alias("n"), F.array_intersect(t, asked).alias("hit")))
+    head = F.size(F.array_intersect(X.retrieval_tokens(F.substring("text", 1, 800)), asked)) / len(terms)
+    docs = cut(table(spark, sf_dir, "documents").select("doc_id", found.alias("d"), head.alias("lex")).select("doc_id", "d.n", "d.hit", "lex"))
+    whole = docs.agg(F.count("*").alias("docs"), F.avg("n").alias("mean")).first()
+    df = docs.select(F.explode("hit").alias("term")).groupBy("term").agg(F.count("*").alias("c"))
+    idf = F.broadcast(df.select("term", F.log(1 + (whole["docs"] - F.col("c") + 0.5) / (F.col("c") + 0.5)).alias("idf")))
+    length = 1 + K1 * (1 - B + B * F.greatest(F.col("n"), F.lit(1)) / (whole["mean"] or 1.0))
+    scored = docs.select("doc_id", "n", "lex", F.explode("hit").alias("term")).join(idf, "term").groupBy("doc_id", "lex").agg(F.sum(F.col("idf") * (K1 + 1) / length).alias("s"))
+    scored = cut(scored.filter("s > 0"))
     top = scored.agg(F.max("s")).first()[0] or 1.0
-    scored = scored.withColumn("b", F.col("s") / top).withColumn("f", 0.25 * F.col("lex") + 0.25 * F.col("b"))
-    best = scored.orderBy(F.desc(F.round("f", 9)), "doc_id").limit(20)
-    return best.select("doc_id", F.round("b", 5).alias("bm25"), F.round("lex", 5).alias("lex"), F.round("f", 5).alias("score"))
+    return scored.select("doc_id", "lex", (F.col("s") / top).alias("b"))
 
 
 @query("""SELECT page_id, len(string_split(url, '/')) - 1 AS slashes, split_part(regexp_replace(url, '^[a-z]+://', ''), '/', 1) AS host FROM pages""")

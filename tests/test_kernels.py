@@ -3,21 +3,19 @@ import itertools
 import numpy as np
 
 from stratamill.operators import kernels
+from stratamill.operators import landscape as L
 
 
-def test_a_known_shift_is_found_and_gaps_are_not_bridged():
-    t = np.arange(0, 100.25, 0.5)
+def test_a_known_shift_is_found_and_gaps_are_not_bridged(spark):
     curve = lambda t: 70 + 15 * np.sin(t / 4) + 8 * (t > 45) - 12 * (t > 68)
-    spread = np.array([-1.0, 0.0, 1.0])
-    reference = (t, curve(t)[:, None] + spread)
-    at = np.arange(20.0, 75.0)
-    query = (at, curve(at + 6)[:, None] + spread)
-    found = kernels.landscape(*kernels.offset_costs(query, reference, 1.0, 10.0))
-    assert abs(found["best"] - 6) <= 0.5 and found["cells"] == len(at) and not found["at_edge"]
-    cells = np.array([0.0, 1, 20, 21]), np.array([[10.0], [11], [30], [31]])
-    assert np.isnan(kernels.atlas_at(*cells, np.array([2.0, 10, 25, -1]), 1.0)).all()
-    assert kernels.atlas_at(*cells, np.array([0.5]), 1.0)[0, 0] == 10.5
-    assert np.isnan(kernels.landscape(*kernels.offset_costs((at[:3], query[1][:3]), reference, 1.0, 10.0))["best"])
+    cells = lambda t, shift: spark.createDataFrame([("k", int(x), *(float(curve(x + shift) + d) for d in (-1, 0, 1))) for x in t], "key string, cell long, a double, b double, c double")
+    query, reference = cells(range(20, 75), 6), cells(range(101), 0)
+    found = L.landscape(L.offset_costs(query, reference, "key", 1.0), query.select("key").distinct(), "key").first()
+    assert abs(found.best - 6) <= 0.5 and found.cells == 55 and not found.at_edge
+    few = L.landscape(L.offset_costs(query.limit(3), reference, "key", 1.0), query.select("key").distinct(), "key").first()
+    assert (few.best, few.sharpness, few.width, few.cells, few.at_edge) == (None, 0.0, 60.0, 0, 1.0)
+    spans = L.spans(cells([0, 1, 3, 20, 21], 0), "key")
+    assert sorted((r["from"], r["to"], r["at"]) for r in spans.collect()) == [(0, 0, -1), (0, 1, 0), (1, 3, 1), (1, 3, 2), (20, 21, 20)]
 
 
 def test_cheapest_path_is_the_least_of_all_paths():
