@@ -18,7 +18,7 @@ _FOLDED = _CODE.copy()
 _FOLDED[65:91] = _CODE[97:123]
 _powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
 #: Bytes of text that are hashed at once; longer texts make a chunk of their own.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 
 
 def mix(h: np.ndarray) -> np.ndarray:
