@@ -60,7 +60,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     placed = placed.withColumn("text", F.when(F.col(words).isNull(), F.col("text")).otherwise(cut))
     if "n_chars" in docs.columns:
         placed = placed.withColumn("n_chars", F.when(F.col(words).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return placed.orderBy(at, key).select(*docs.columns)
+    # written before it is sorted: the sort's sample would join again, and the join's files would stay until its end
+    return materialize(placed).orderBy(at, key).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
