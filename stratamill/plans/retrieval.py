@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stratamill.functions import text as X
 from stratamill.operators.spatial import cut
 from stratamill.plans.catalog import catalog
+from stratamill.plans.vectors import COSINE, cosine, nearest_query, vectors
 from stratamill.session import table
 
 query, QUERIES, ORACLE_SQL = catalog()
@@ -15,11 +16,14 @@ query, QUERIES, ORACLE_SQL = catalog()
 K1, B = 1.5, 0.75
 
 
-@query(f"""WITH q AS (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]{{3,}}'))) AS term FROM (SELECT text FROM benchmark ORDER BY item_id LIMIT 1)),
+BM25_SQL = f"""WITH q AS (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]{{3,}}'))) AS term FROM (SELECT text FROM benchmark ORDER BY item_id LIMIT 1)),
 d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]{{3,}}')) AS t, list_distinct(regexp_extract_all(lower(substr(coalesce(text, ''), 1, 800)), '[a-z0-9_]{{3,}}')) AS head FROM documents),
 st AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM d), df AS (SELECT term, count(*) AS c FROM d, q WHERE list_contains(t, term) GROUP BY 1),
 raw AS (SELECT doc_id, sum(ln(1 + (n - c + 0.5) / (c + 0.5)) * {K1 + 1} / (1 + {K1} * (1 - {B} + {B} * greatest(len(t), 1) / avgdl))) AS s FROM d, st, df WHERE list_contains(t, term) GROUP BY 1),
-lex AS (SELECT doc_id, count(*) / (SELECT count(*) FROM q) AS lex FROM d, q WHERE list_contains(head, term) GROUP BY 1)
+lex AS (SELECT doc_id, count(*) / (SELECT count(*) FROM q) AS lex FROM d, q WHERE list_contains(head, term) GROUP BY 1)"""
+
+
+@query(f"""{BM25_SQL}
 SELECT doc_id, round(b, 5) AS bm25, round(coalesce(lex, 0), 5) AS lex, round(0.25 * coalesce(lex, 0) + 0.25 * b, 5) AS score
 FROM (SELECT doc_id, s / (SELECT max(s) FROM raw) AS b FROM raw) LEFT JOIN lex USING (doc_id) ORDER BY round(0.25 * coalesce(lex, 0) + 0.25 * b, 9) DESC, doc_id LIMIT 20""")
 def f8_bm25_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +55,27 @@ def bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "lex", (F.col("s") / top).alias("b"))
 
 
+FILLERS = "task is ongoing|monitoring|smooth execution|further analysis"
+
+
+@query(f"""{BM25_SQL},
+h AS (SELECT r.doc_id, coalesce(lex, 0) AS lex, s / (SELECT max(s) FROM raw) AS b, {COSINE.format("v.e", "z.e")} AS c, regexp_matches(lower(substr(text, 1, 120)), '{FILLERS}') AS fill
+FROM raw r LEFT JOIN lex USING (doc_id) JOIN documents USING (doc_id) JOIN (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) v ON v.vec_id = r.doc_id, (SELECT embedding::DOUBLE[] AS e FROM embeddings ORDER BY vec_id LIMIT 1) z),
+f AS (SELECT doc_id, (0.7 * c * (0.2 + 0.8 * greatest(lex, 0.5 * b)) + 0.075 * c + 0.25 * lex + 0.25 * b) * CASE WHEN fill AND lex < 0.15 AND b < 0.2 THEN 0.5 ELSE 1 END AS score FROM h)
+SELECT doc_id, round(score, 5) AS score FROM f ORDER BY round(score, 9) DESC, doc_id LIMIT 20""")
+def f9_hybrid_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty best documents by cosine, gated by word overlap and BM25, with both of these; the cosine is that of the
+    vector of the document's id and the first vector. Filler that the words don't support counts half."""
+    q = nearest_query(spark, sf_dir)
+    v = vectors(spark, sf_dir).select(F.col("vec_id").alias("doc_id"), cosine(F.col("e"), q).alias("c"))
+    fill = table(spark, sf_dir, "documents").select("doc_id", F.lower(F.substring("text", 1, 120)).rlike(FILLERS).alias("fill"))
+    rows = bm25(spark, sf_dir).join(v, "doc_id").join(fill, "doc_id")
+    gated = F.col("c") * (0.2 + 0.8 * F.greatest("lex", 0.5 * F.col("b")))
+    score = 0.7 * gated + 0.075 * F.col("c") + 0.25 * F.col("lex") + 0.25 * F.col("b")
+    half = F.when(F.col("fill") & (F.col("lex") < 0.15) & (F.col("b") < 0.2), 0.5).otherwise(1.0)
+    return rows.select("doc_id", (score * half).alias("s")).orderBy(F.desc(F.round("s", 9)), "doc_id").limit(20).select("doc_id", F.round("s", 5).alias("score"))
+
+
 @query("""SELECT page_id, len(string_split(url, '/')) - 1 AS slashes, split_part(regexp_replace(url, '^[a-z]+://', ''), '/', 1) AS host FROM pages""")
 def s2_path_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host and depth of each page's address."""
