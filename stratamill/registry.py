@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratamill.plans import aggregates, basics, fits, gates, kernels, paths, retrieval, scores, series, spatial, streams, texts, vectors
+from stratamill.plans import aggregates, basics, blocks, fits, gates, kernels, paths, retrieval, scores, series, spatial, streams, texts, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (aggregates, basics, series, texts, vectors, scores, paths, retrieval, spatial, fits, streams, kernels, gates)
+MODULES = (aggregates, basics, series, texts, vectors, scores, paths, retrieval, spatial, fits, streams, kernels, gates, blocks)
 
 
 def queries() -> dict[str, Query]:
