@@ -1,4 +1,4 @@
-"""Substring dedup by range-sorted window hashes, in place of prefix-partitioned suffix trees."""
+"""Substring dedup by suffix trees over groups of suffixes that a variable-length prefix sets apart."""
 
 from __future__ import annotations
 
@@ -14,8 +14,13 @@ from stratamill.llm import words as W
 from stratamill.llm.common import look_up, materialize, null_safe
 
 HEAD = "n_words long, whole_sha256 string"
-#: Words of the grams among which a window's anchor is chosen, and of the prefix that leads a suffix's path.
-GRAM, PREFIX = 6, 3
+#: Words of the grams among which a window's anchor is chosen.
+GRAM = 6
+#: Words of a suffix that order it, BITS of each one's hash, as many in a long as fit.
+LEVELS, BITS = 12, 16
+EACH = 64 // BITS
+KEYS = [f"w{i}" for i in range(LEVELS // EACH)]
+SPANS = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
 #: States of an anchor in a document: not met yet, met in another one, a row that stands for two that met.
 OPEN, HIT, SEEN = 0, 1, 2
 
@@ -38,6 +43,36 @@ def tagged(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return h ^ W.mix(doc.astype(np.uint64) + np.uint64(1))
 
 
+def ordering(h: np.ndarray, at: np.ndarray, window: int) -> list[np.ndarray]:
+    """The first words, LEVELS at most, of the suffixes that start at at, as one column for each EACH of them.
+
+    Equal prefixes of words are equal prefixes of the columns' bits, so suffixes sorted by the columns stand as a suffix
+    tree has them: those that share a prefix are next to each other.
+    """
+    letters, out = h >> np.uint64(64 - BITS), []
+    for k in range(0, LEVELS, EACH):
+        column = np.zeros(len(at), np.uint64)
+        for i in range(k, k + EACH):
+            column = (column << np.uint64(BITS)) | (letters[at + i] if i < window else np.uint64(0))
+        out.append(column)
+    return out
+
+
+def depths(columns: list[np.ndarray], path: np.ndarray, window: int) -> np.ndarray:
+    """How many words each suffix shares with the one before it: the depth of the inner node at which the two part.
+
+    LEVELS at most for suffixes that are told apart by their paths alone; window for those of one path; 0 for the first.
+    """
+    out, whole = np.zeros(len(path), np.int64), np.ones(max(len(path) - 1, 0), bool)
+    for column in columns:
+        apart = column.view(np.uint64)[1:] ^ column.view(np.uint64)[:-1]
+        for i in range(1, EACH + 1):
+            out[1:] += whole & (apart >> np.uint64(64 - BITS * i) == 0)
+        whole &= apart == 0
+    out[1:] = np.where(whole & (path[1:] == path[:-1]), window, np.minimum(out[1:], window - 1))
+    return out
+
+
 def heads(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -53,7 +88,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
 
 
 def kept_texts(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", support: float = 1e-3) -> DataFrame:
-    """(id, whole_sha256, n_removed, kept_sha256, kept) of the rows that lose some but not all words, kept being what stays."""
+    """(id, whole_sha256, n_removed, kept_sha256, kept, spans) of the rows that lose words by windows; kept is what stays, spans the runs of words that go."""
     return _dedup(docs, window, id_col, text_col, support)[1]
 
 
@@ -70,12 +105,14 @@ def _dedup(docs: DataFrame, window: int, id_col: str, text_col: str, support: fl
        windows share, occurs in two documents; about a quarter of the positions have a hash of their own to compare.
        Hashes that meet within a batch of documents are settled there and send one row, so frequent passages make no
        large groups; the others meet in a pass over sorted rows that holds one row.
-    3. No tree is built, and there are no inner nodes and no maximal repeats: a suffix that is left is cut at the
-       window's length, and its path is one hash of that window. Range partitioning by the hash of its first words
-       (PREFIX at most), then path, then id gives groups of like size, cutting inside a prefix, a path or even the
-       documents of one path where those are large. Runs of equal paths stand for a suffix tree's nodes of that
-       depth, the only ones asked for. Every document of a run but its first loses the window. Runs that cross a
-       border are joined by one row for each group.
+    3. The suffixes that are left, cut at the window's length, are range-sorted by their words in order (ordering()),
+       then path (a hash of the window), then id. The borders that the sort finds are prefixes of as many words as it
+       takes to make groups of like size: a rare word sets a group apart alone, a frequent phrase is split by what
+       follows it, and a path that holds very many documents is cut among its documents. In a group the suffix tree is
+       given by the depths at which neighbours part (depths()); it is walked batch by batch, so a group needs no more
+       memory than a batch. Its inner nodes as deep as a window are the repeats: below one, every document but the
+       first loses the window. Nodes of no such depth are passed over. Nodes that cross a border are joined by one row
+       for each group. Overlapping windows of a document make one repeat of any length (spans of kept_texts()).
     4. The windows found go back to their documents, which alone are read again.
     """
     spark = docs.sparkSession
@@ -158,51 +195,55 @@ def _dedup(docs: DataFrame, window: int, id_col: str, text_col: str, support: fl
                 hit = tagged(lists.flatten().to_numpy().view(np.uint64), np.repeat(np.arange(j - i), np.asarray(lists.value_lengths().fill_null(0))))
                 k = np.flatnonzero(ok)
                 k = k[np.isin(tagged(anchors(h, window)[k], doc[k]), hit)]
-                prefix, _ = W.grams(h, bounds, min(PREFIX, window))
                 order = k[np.lexsort((path[k], doc[k]))]
                 new = np.ones(len(order), bool)
                 new[1:] = (path[order][1:] != path[order][:-1]) | (doc[order][1:] != doc[order][:-1])
                 order = order[new]
-                yield emit(ids, doc[order], prefix[order] >> np.uint64(32), path[order], names=[id_col, "prefix", "path"])
+                yield emit(ids, doc[order], *ordering(h, order, window), path[order], names=[id_col, *KEYS, "path"])
 
     with_hits = docs.select(id_col, text_col).join(hits, id_col)
-    tree = with_hits.select(id_col, text_col, "_hits").mapInArrow(suffixes, f"{id_col} long, prefix long, path long")
-    tree = tree.repartitionByRange("prefix", "path", id_col).sortWithinPartitions("prefix", "path", id_col).select("prefix", "path", F.col(id_col).alias("id"))
+    longs = ", ".join(f"{k} long" for k in KEYS)
+    tree = with_hits.select(id_col, text_col, "_hits").mapInArrow(suffixes, f"{id_col} long, {longs}, path long")
+    by = [*KEYS, "path", id_col]
+    tree = tree.repartitionByRange(*by).sortWithinPartitions(*by).select(*KEYS, "path", F.col(id_col).alias("id"))
 
     def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """State 0: this document loses this window; 1: the group's first row; 2: its last node with the least id."""
         from pyspark import TaskContext
 
-        group, names = TaskContext.get().partitionId(), ["group", "state", "prefix", "path", "id"]
-        node, least = None, 0
+        group, names = TaskContext.get().partitionId(), ["group", "state", "path", "id"]
+        last, least = None, None
+
+        def rows(state: int, path: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), x)) for x in (group, state)] + [pa.array(path), pa.array(ids)], names=names)
+
         for batch in batches:
-            prefix, path, ids = (batch.column(c).to_numpy() for c in range(3))
+            *columns, path, ids = (batch.column(c).to_numpy() for c in range(len(KEYS) + 2))
             if not len(ids):
                 continue
-            if node is None:
-                node, least = (prefix[0], path[0]), ids[0]
-                yield pa.RecordBatch.from_arrays([pa.array([group]), pa.array([1]), *(pa.array(x[:1]) for x in (prefix, path, ids))], names=names)
-            new = np.ones(len(ids), bool)
-            new[1:] = (prefix[1:] != prefix[:-1]) | (path[1:] != path[:-1])
-            starts = np.flatnonzero(new)
+            if last is None:
+                yield rows(1, path[:1], ids[:1])
+                last = [c[:1] for c in (*columns, path)]
+            *columns, path = (np.concatenate([x, c]) for x, c in zip(last, (*columns, path)))
+            deep = depths(columns, path, window)[1:] >= window
+            starts = np.flatnonzero(np.append(True, ~deep[1:]))
             first = ids[starts].copy()
-            if (prefix[0], path[0]) == node:
+            if deep[0] and least is not None:
                 first[0] = least
             lost = ids > np.repeat(first, np.diff(np.append(starts, len(ids))))
-            node, least = (prefix[-1], path[-1]), first[-1]
-            n = int(lost.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, group)), pa.array(np.zeros(n, np.int64)), *(pa.array(x[lost]) for x in (prefix, path, ids))], names=names)
-        if node is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (group, 2, *node, least)], names=names)
+            last, least = [c[-1:] for c in (*columns, path)], first[-1]
+            yield rows(0, path[1:][lost], ids[lost])
+        if last is not None:
+            yield rows(2, last[-1], np.array([least]))
 
-    found = materialize(tree.mapInArrow(subtrees, "group long, state long, prefix long, path long, id long"))
+    found = materialize(tree.mapInArrow(subtrees, "group long, state long, path long, id long"))
     lost = found.filter("state = 0").select(F.col("id").alias(id_col), "path")
     borders, ended = [], {}
     for r in found.filter("state > 0").orderBy("group", "state").collect():
-        if r.state == 1 and (least := ended.get((r.prefix, r.path))) is not None and least < r.id:
+        if r.state == 1 and (least := ended.get(r.path)) is not None and least < r.id:
             borders.append((r.id, r.path))
         if r.state == 2:
-            ended = {(r.prefix, r.path): min(r.id, ended.get((r.prefix, r.path), r.id))}
+            ended = {r.path: min(r.id, ended.get(r.path, r.id))}
     if borders:
         lost = lost.union(spark.createDataFrame(borders, f"{id_col} long, path long"))
     lost = materialize(lost.groupBy(id_col).agg(F.collect_set("path").alias("_lost")))
@@ -226,12 +267,15 @@ def _dedup(docs: DataFrame, window: int, id_col: str, text_col: str, support: fl
                     text = raw[at[r] : at[r + 1]].tobytes()
                     split = text.split()
                     left = b" ".join([w for w, o in zip(split, out[a:b].tolist()) if not o])
-                    rows.append((hashlib.sha256(b" ".join(split)).hexdigest(), int(out[a:b].sum()), hashlib.sha256(left).hexdigest(), left.decode()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *map(pa.array, zip(*rows))], names=[id_col, "whole_sha256", "n_removed", "kept_sha256", "kept"])
+                    edge = np.flatnonzero(np.diff(np.concatenate([[False], out[a:b], [False]]).astype(np.int8)))
+                    spans = [{"start": x, "length": y - x} for x, y in edge.reshape(-1, 2).tolist()]
+                    rows.append((hashlib.sha256(b" ".join(split)).hexdigest(), int(out[a:b].sum()), hashlib.sha256(left).hexdigest(), left.decode(), spans))
+                *flat, spans = zip(*rows)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *map(pa.array, flat), pa.array(spans, SPANS)], names=[id_col, "whole_sha256", "n_removed", "kept_sha256", "kept", "spans"])
 
     with_lost = docs.select(id_col, text_col).join(lost, id_col)
-    texts = with_lost.select(id_col, text_col, "_lost").mapInArrow(rest, f"{id_col} long, whole_sha256 string, n_removed long, kept_sha256 string, kept string")
-    part = materialize(texts.drop("kept").distinct())
+    texts = with_lost.select(id_col, text_col, "_lost").mapInArrow(rest, f"{id_col} long, whole_sha256 string, n_removed long, kept_sha256 string, kept string, spans array<struct<start:long,length:long>>")
+    part = materialize(texts.drop("kept", "spans").distinct())
     out = null_safe(head, part, [id_col, "whole_sha256"], "left")
     out = null_safe(out, copies.withColumn("_copy", F.lit(True)), [id_col, "whole_sha256"], "left")
     nothing = hashlib.sha256(b"").hexdigest()

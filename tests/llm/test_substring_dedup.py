@@ -3,7 +3,10 @@ import random
 import re
 from collections import Counter
 
-from stratamill.llm.substring_dedup import substring_dedup
+import numpy as np
+
+from stratamill.llm import words as W
+from stratamill.llm.substring_dedup import LEVELS, depths, kept_texts, ordering, substring_dedup
 
 
 def brute(rows, k):
@@ -57,3 +60,30 @@ def test_rows_that_share_an_id_and_have_different_words(docs):
     for support in (1e-3, 0.9):
         got = Counter(tuple(r) for r in substring_dedup(docs(rows), 13, support=support).collect())
         assert got == brute([r[:2] for r in rows], 13) and sorted(x[2] for x in got if x[0] == 2) == [20, 40]
+
+
+def test_depths_are_those_of_a_suffix_tree():
+    rnd = random.Random(5)
+    texts = [[rnd.choice("abc") for _ in range(60)] for _ in range(5)]
+    for window in (2, 5, 12, 13, 20):
+        text = " ".join(w for t in texts for w in t).encode()
+        h, _, _, bounds = W.words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        path, ok = W.grams(h, bounds, window)
+        at = np.flatnonzero(ok)
+        columns = ordering(h, at, window)
+        order = np.lexsort((path[at], *(c.view(np.int64) for c in reversed(columns))))
+        got = depths([c[order].view(np.int64) for c in columns], path[at][order].view(np.int64), window)
+        words = text.decode().split()
+        suffixes = [words[a : a + window] for a in at[order]]
+        shared = [0] + [next((i for i in range(window) if x[i] != y[i]), window) for x, y in zip(suffixes, suffixes[1:])]
+        assert got.tolist() == [d if d == window else min(d, LEVELS, window - 1) for d in shared]
+        # equal suffixes stand together, as below one node
+        nodes = [tuple(s) for s, d in zip(suffixes, got) if d < window]
+        assert len(nodes) == len(set(nodes)) == len({tuple(s) for s in suffixes})
+
+
+def test_spans_are_the_runs_that_go(docs):
+    passage = [f"w{i}" for i in range(30)]
+    rows = [(1, " ".join(["a", *passage]), "en", "s"), (2, " ".join(["b", "c", *passage, "d", *passage[:13]]), "en", "s"), (3, "no repeat of any other text here", "en", "s")]
+    found = kept_texts(docs(rows)).collect()
+    assert [(r.doc_id, r.kept, [(s.start, s.length) for s in r.spans]) for r in found] == [(2, "b c d", [(2, 30), (33, 13)])]
