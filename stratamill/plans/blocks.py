@@ -389,3 +389,87 @@ def st5_truth_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events(spark, sf_dir).withColumns({"rn": F.row_number().over(by_time()).cast("long"), "before": F.lag("event_type").over(by_time())}).filter(F.col("rn") <= ROUNDS)
     per = rows.groupBy("user_id").agg(F.count("*").alias("n"), F.min(F.when(F.col("event_type") == F.col("before"), F.col("rn"))).alias("settled"))
     return per.select("user_id", F.coalesce("settled", "n").alias("rounds"), F.when(F.col("n") >= 2, F.col("settled").isNotNull()).alias("stable"))
+
+
+#: Least views of a reference, least known rows and least rows to predict of a series that can be used.
+LEAST_VIEWS, LEAST_KNOWN, LEAST_TAIL = 12, 45, 8
+
+
+@query(f"""SELECT user_id, known, tail, CASE WHEN views < {LEAST_VIEWS} THEN 'reference' WHEN NOT coalesce(head < rest, true) THEN 'prefix' WHEN known < {LEAST_KNOWN} THEN 'known' WHEN tail < {LEAST_TAIL} THEN 'tail' END AS reason FROM (
+SELECT user_id, count(*) FILTER (WHERE given) AS known, count(*) FILTER (WHERE NOT given) AS tail, count(*) FILTER (WHERE event_type = 'view') AS views, max(rn) FILTER (WHERE given) AS head, min(rn) FILTER (WHERE NOT given) AS rest FROM (
+SELECT user_id, event_type, rn, rn <= n - 8 OR (user_id % 3 = 0 AND event_type = 'signup') AS given FROM (SELECT *, row_number() OVER ({BY}) AS rn, count(*) OVER (PARTITION BY user_id) AS n FROM events)) GROUP BY 1)""")
+def s4_usable_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known rows and rows to predict of each series, and why it can't be used: a short reference, known values that are no
+    prefix, too few of them, or too few rows to predict. Null where it can."""
+    rows = events(spark, sf_dir).withColumns({"rn": F.row_number().over(by_time()), "n": F.count("*").over(Window.partitionBy("user_id"))})
+    given = (F.col("rn") <= F.col("n") - 8) | ((F.col("user_id") % 3 == 0) & (F.col("event_type") == "signup"))
+    per = rows.withColumn("given", given).groupBy("user_id").agg(
+        F.count_if("given").alias("known"),
+        F.count_if(~F.col("given")).alias("tail"),
+        F.count_if(F.col("event_type") == "view").alias("views"),
+        F.coalesce(F.max(F.when(F.col("given"), F.col("rn"))) < F.min(F.when(~F.col("given"), F.col("rn"))), F.lit(True)).alias("prefix"),
+    )
+    reason = F.when(F.col("views") < LEAST_VIEWS, "reference").when(~F.col("prefix"), "prefix").when(F.col("known") < LEAST_KNOWN, "known").when(F.col("tail") < LEAST_TAIL, "tail")
+    return per.select("user_id", "known", "tail", reason.alias("reason"))
+
+
+# The labels that a verdict may have.
+VERDICTS = ("OPEN_CANDIDATE", "STOP", "NEED_INFO", "OPEN")
+
+
+def fault_sql(key: str, value: str, least: int) -> str:
+    t = rf"regexp_replace(coalesce({value}, ''), '^\s+|\s+$', '', 'g')"
+    return f"CASE WHEN {PLACEHOLDER_SQL.format(t=t)} THEN 'placeholder:{key}' WHEN {FILLER_SQL.format(t=t)} THEN 'filler:{key}' WHEN length({t}) < {least} THEN 'too_short:{key}' END"
+
+
+def fault(key: str, value, least: int):
+    """What is wrong with a field of a payload, or null."""
+    short = F.length(F.regexp_replace(X.empty_text(value), r"^\s+|\s+$", "")) < least
+    return F.when(X.is_placeholder(value), f"placeholder:{key}").when(X.is_filler(value), f"filler:{key}").when(short, f"too_short:{key}")
+
+
+PLACEHOLDER_SQL = "(length({t}) < 2 OR regexp_matches({t}, '" + X.PLACEHOLDER.replace("{", "{{").replace("}", "}}") + "'))"
+FILLER_SQL = "(length({t}) < 12 OR (regexp_matches({t}, '" + X.FILLER + "') AND length({t}) < 120) OR ((contains({t}, '...') OR contains({t}, '…')) AND length({t}) < 40))"
+REASON, LABEL = "substr(text, 1, 60)", "CASE turn % 3 WHEN 0 THEN 'stop' WHEN 1 THEN 'maybe' ELSE 'open' END"
+
+
+@query(rf"""SELECT conv_id, turn, errors = '' AS ok, errors FROM (SELECT conv_id, turn, CASE WHEN role = 'user' THEN concat_ws(',', {fault_sql("what", "substr(text, 1, 30)", 6)}, {fault_sql("domain", "role", 6)}, {fault_sql("success", "substr(text, 31, 30)", 6)})
+ELSE concat_ws(',', {fault_sql("reason", REASON, 12)}, CASE WHEN {FILLER_SQL.format(t=rf"regexp_replace(coalesce({REASON}, ''), '^\s+|\s+$', '', 'g')")} THEN 'filler:reason' END, CASE WHEN upper({LABEL}) NOT IN {VERDICTS} THEN 'bad_verdict_label' END) END AS errors FROM conversations)""")
+def f16_role_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with payloads made of turns: a user's as a scout's (what, domain, success), others as verdicts (reason, label)."""
+    reason, label = F.substring("text", 1, 60), F.when(F.col("turn") % 3 == 0, "STOP").when(F.col("turn") % 3 == 1, "MAYBE").otherwise("OPEN")
+    scout = [fault("what", F.substring("text", 1, 30), 6), fault("domain", F.col("role"), 6), fault("success", F.substring("text", 31, 30), 6)]
+    verdict = [fault("reason", reason, 12), F.when(X.is_filler(reason), "filler:reason"), F.when(~label.isin(*VERDICTS), "bad_verdict_label")]
+    errors = F.when(F.col("role") == "user", F.concat_ws(",", *scout)).otherwise(F.concat_ws(",", *verdict))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", errors.alias("errors"))
+    return rows.select("conv_id", "turn", (F.col("errors") == "").alias("ok"), "errors")
+
+
+#: Hours before the last row that count, hours that a step may take, and the share and the most of a bias that is used.
+BIAS_HOURS, STEP_HOURS, BIAS_SHARE, BIAS_MOST = 400.0, (0.5, 48.0), 0.5, 3.0
+VALID = f"step >= {STEP_HOURS[0]} AND step <= {STEP_HOURS[1]} AND x >= anchor - {BIAS_HOURS}"
+BIAS_SQL = f"""v AS (SELECT user_id, value FROM (SELECT user_id, dv / step AS value, bool_and(coalesce({VALID}, false)) OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC ROWS UNBOUNDED PRECEDING) AS kept FROM (
+SELECT *, x - lag(x) OVER ({BY}) AS step, value - lag(value) OVER ({BY}) AS dv, max(x) OVER (PARTITION BY user_id) AS anchor FROM {E})) WHERE kept),
+l0 AS (SELECT user_id, value, m AS loc, greatest(1.4826 * quantile_cont(abs(value - m), 0.5) OVER (PARTITION BY user_id), 0.001) AS s FROM (SELECT user_id, value, quantile_cont(value, 0.5) OVER (PARTITION BY user_id) AS m FROM v))"""
+for _k in range(5):
+    BIAS_SQL += f", l{_k + 1} AS (SELECT user_id, value, s, sum(w * value) OVER (PARTITION BY user_id) / sum(w) OVER (PARTITION BY user_id) AS loc FROM (SELECT *, CASE WHEN abs(value - loc) > 1.5 * s THEN 1.5 * s / abs(value - loc) ELSE 1.0 END AS w FROM l{_k}))"
+
+
+@query(f"""WITH {BIAS_SQL}, b AS (SELECT user_id, any_value(loc) AS loc, count(*) AS n FROM l5 GROUP BY 1)
+SELECT user_id, round(greatest(-{BIAS_MOST}, least({BIAS_MOST}, {BIAS_SHARE} * coalesce(loc, 0))), 4) AS bias, coalesce(n, 0) AS steps FROM (SELECT DISTINCT user_id FROM events) LEFT JOIN b USING (user_id)""")
+def g13_prefix_bias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shrunk and clipped location of the slopes that lead up to each series' last row without a step that isn't valid; 0 without any."""
+    last = Window.partitionBy("user_id")
+    rows = events(spark, sf_dir).withColumns({"step": F.col("x") - F.lag("x").over(by_time()), "dv": F.col("value") - F.lag("value").over(by_time()), "anchor": F.max("x").over(last)})
+    valid = F.coalesce(F.col("step").between(*STEP_HOURS) & (F.col("x") >= F.col("anchor") - BIAS_HOURS), F.lit(False))
+    back = last.orderBy(F.desc("ts"), F.desc("event_id")).rowsBetween(Window.unboundedPreceding, 0)
+    users = rows.select("user_id").distinct()
+    v = cut(rows.withColumn("kept", F.bool_and(valid).over(back)).filter("kept").select("user_id", (F.col("dv") / F.col("step")).alias("value")))
+    middle = v.groupBy("user_id").agg(F.percentile("value", 0.5).alias("loc"), F.count("*").alias("steps"))
+    now = v.join(middle, "user_id").groupBy("user_id", "loc", "steps").agg(F.greatest(1.4826 * F.percentile(F.abs(F.col("value") - F.col("loc")), 0.5), F.lit(0.001)).alias("s"))
+    for _ in range(5):
+        away = F.abs(F.col("value") - F.col("loc"))
+        w = F.when(away > 1.5 * F.col("s"), 1.5 * F.col("s") / away).otherwise(1.0)
+        now = v.join(now, "user_id").groupBy("user_id", "s", "steps").agg((F.sum(w * F.col("value")) / F.sum(w)).alias("loc"))
+    bias = F.greatest(F.lit(-BIAS_MOST), F.least(F.lit(BIAS_MOST), BIAS_SHARE * F.coalesce("loc", F.lit(0.0))))
+    return users.join(now, "user_id", "left").select("user_id", F.round(bias, 4).alias("bias"), F.coalesce("steps", F.lit(0).cast("long")).alias("steps"))

@@ -6,10 +6,11 @@ import hashlib
 import io
 import json
 import zipfile
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from typing import Any
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -180,6 +181,42 @@ def save_index(chunks: DataFrame, path: str, vector: str = "embedding") -> None:
     write_once(chunks.drop(vector), f"{path}/slim")
 
 
+def load_index(spark: SparkSession, path: str, vectors: bool = True) -> DataFrame:
+    """The index that save_index() wrote, with vectors or without."""
+    return spark.read.parquet(f"{path}/{'full' if vectors else 'slim'}")
+
+
+def resume_shards(spark: SparkSession, path: str, folds: Iterable[int], compute: Callable[[int], DataFrame]) -> DataFrame:
+    """The rows of all folds with their fold; those that an earlier run ended are read, the others computed and written.
+
+    A fold has ended once its audit (rows and a checksum) is there; what a lost run left without one is written anew. A
+    fold that no longer agrees with its audit raises ValueError. Folds are few and each is a Spark job of its own.
+    """
+
+    def audit(df: DataFrame) -> DataFrame:
+        whole = F.xxhash64(*sorted(df.columns)).cast("decimal(38,0)")
+        return df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(whole), F.lit(0)).cast("string").alias("checksum"))
+
+    out = None
+    for fold in folds:
+        shard, mark = f"{path}/fold-{fold}", f"{path}/audit-{fold}"
+        try:
+            known = spark.read.parquet(mark).first()
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            compute(fold).write.mode("overwrite").parquet(shard)
+            audit(spark.read.parquet(shard)).write.mode("overwrite").parquet(mark)
+        else:
+            if known != audit(spark.read.parquet(shard)).first():
+                raise ValueError(f"fold {fold} in {path} doesn't agree with its audit")
+        rows = spark.read.parquet(shard).withColumn("fold", F.lit(fold))
+        out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        raise ValueError("no folds")
+    return out
+
+
 def digests(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """path and sha256 of the bytes of files."""
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", F.sha2("content", 256).alias("sha256"))

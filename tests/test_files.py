@@ -1,3 +1,4 @@
+import shutil
 import zipfile
 
 import pytest
@@ -74,8 +75,27 @@ def test_writers(spark, tmp_path):
     with pytest.raises(Exception, match="(?i)exists"):
         files.write_once(predicted, str(tmp_path / "out"))
     files.save_index(predicted, str(tmp_path / "index"), "tvt")
-    assert spark.read.parquet(str(tmp_path / "index" / "slim")).columns == ["well", "row"]
+    assert files.load_index(spark, str(tmp_path / "index"), vectors=False).columns == ["well", "row"]
+    assert files.load_index(spark, str(tmp_path / "index")).count() == 2
     assert files.sealed({"b": 1, "a": [2]}) == files.sealed({"a": [2], "b": 1})
     write(tmp_path / "rows.jsonl", ['{"id": 1}', "", '{"id": 2}'])
     assert sorted(r["id"] for r in files.json_lines(spark, str(tmp_path / "rows.jsonl"), "id long").collect()) == [1, 2]
     assert files.digests(spark, str(tmp_path / "rows.jsonl")).first()["sha256"] == __import__("hashlib").sha256((tmp_path / "rows.jsonl").read_bytes()).hexdigest()
+
+
+def test_shards_are_resumed_and_audited(spark, tmp_path):
+    path, asked = str(tmp_path / "shards"), []
+
+    def compute(fold):
+        asked.append(fold)
+        return spark.range(fold, fold + 3)
+
+    rows = lambda folds: sorted(map(tuple, files.resume_shards(spark, path, folds, compute).collect()))
+    assert rows([0, 1]) == sorted((i + f, f) for i in range(3) for f in (0, 1))
+    assert asked == [0, 1]
+    assert len(rows([0, 1, 2])) == 9 and asked == [0, 1, 2]
+    shutil.rmtree(tmp_path / "shards" / "audit-2")  # a run that ended before its audit
+    assert len(rows([0, 1, 2])) == 9 and asked == [0, 1, 2, 2]
+    spark.range(5).write.mode("overwrite").parquet(f"{path}/fold-1")
+    with pytest.raises(ValueError, match="fold 1"):
+        rows([0, 1])
