@@ -473,3 +473,43 @@ def g13_prefix_bias(spark: SparkSession, sf_dir: str) -> DataFrame:
         now = v.join(now, "user_id").groupBy("user_id", "s", "steps").agg((F.sum(w * F.col("value")) / F.sum(w)).alias("loc"))
     bias = F.greatest(F.lit(-BIAS_MOST), F.least(F.lit(BIAS_MOST), BIAS_SHARE * F.coalesce("loc", F.lit(0.0))))
     return users.join(now, "user_id", "left").select("user_id", F.round(bias, 4).alias("bias"), F.coalesce("steps", F.lit(0).cast("long")).alias("steps"))
+
+
+@query("SELECT event_id, user_id, value, CASE WHEN user_id % 5 <> 0 THEN 'training' ELSE 'benchmark' END AS role, CASE WHEN user_id % 5 <> 0 THEN props END AS target FROM events")
+def s6_role_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows by the role of their series: a benchmark's are read without the target column, so nothing can leak from it."""
+    rows = table(spark, sf_dir, "events")
+    shown = ["event_id", "user_id", "value"]
+    seen = rows.filter("user_id % 5 <> 0").select(*shown, F.lit("training").alias("role"), F.col("props").alias("target"))
+    blind = rows.select(*shown).filter("user_id % 5 = 0 OR user_id IS NULL").select("*", F.lit("benchmark").alias("role"), F.lit(None).cast("string").alias("target"))
+    return seen.unionByName(blind)
+
+
+STRIP_SQL = r"regexp_replace(coalesce({t}, ''), '^\s+|\s+$', '', 'g')"
+
+
+def given_sql(words: str) -> str:
+    return f"list_filter(list_transform({words}, lambda x: {STRIP_SQL.format(t='x')}), lambda x: NOT {PLACEHOLDER_SQL.format(t='x')})"
+
+
+@query(rf"""SELECT conv_id, turn, length(p) AS n_chars, md5(p) AS payload_md5 FROM (SELECT conv_id, turn, concat_ws(' ', CASE WHEN NOT {PLACEHOLDER_SQL.format(t="r")} THEN r END, CASE WHEN NOT {PLACEHOLDER_SQL.format(t="n")} THEN n END,
+CASE WHEN len(list_filter(s, lambda x: NOT list_contains({list(X.LAW_CORE)}, lower(x)))) > 0 THEN 'shared: ' || array_to_string(s, ', ') END, CASE WHEN len(m) > 0 THEN 'missing: ' || array_to_string(m, ', ') END) AS p FROM (
+SELECT conv_id, turn, {STRIP_SQL.format(t="substr(text, 1, 40)")} AS r, {STRIP_SQL.format(t="role")} AS n, {given_sql("CASE turn % 3 WHEN 0 THEN ['open', 'Audit'] WHEN 1 THEN ['stop', role, '...'] ELSE []::VARCHAR[] END")} AS s, {given_sql("string_split(coalesce(text, ''), ' ')[1:3]")} AS m FROM conversations))""")
+def f14_payload_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a JSON envelope says without its keys: reason and note, then lists of what is shared and missing.
+
+    Placeholders are left out, and shared words that are all of the law's core, which any answer echoes. The envelopes
+    are written from turns first and parsed again.
+    """
+    text = X.empty_text(F.col("text"))
+    shared = F.when(F.col("turn") % 3 == 0, F.array(F.lit("open"), F.lit("Audit"))).when(F.col("turn") % 3 == 1, F.array(F.lit("stop"), F.col("role"), F.lit("..."))).otherwise(F.array().cast("array<string>"))
+    sent = F.struct(F.substring(text, 1, 40).alias("reason"), F.col("role").alias("note"), shared.alias("shared"), F.slice(F.split(text, " "), 1, 3).alias("missing"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.to_json(sent).alias("envelope"))
+    rows = rows.select("conv_id", "turn", F.from_json("envelope", "reason string, note string, shared array<string>, missing array<string>").alias("e")).select("conv_id", "turn", "e.*")
+    strip = lambda t: F.regexp_replace(X.empty_text(t), r"^\s+|\s+$", "")
+    said = lambda c: F.when(~X.is_placeholder(F.col(c)), strip(F.col(c)))
+    listed = lambda c: F.filter(F.transform(c, strip), lambda t: ~X.is_placeholder(t))
+    rows = rows.withColumns({"s": listed("shared"), "m": listed("missing")})
+    beyond = F.exists("s", lambda t: ~F.lower(t).isin(X.LAW_CORE))
+    parts = [said("reason"), said("note"), F.when(beyond, F.concat(F.lit("shared: "), F.array_join("s", ", "))), F.when(F.size("m") > 0, F.concat(F.lit("missing: "), F.array_join("m", ", ")))]
+    return rows.select("conv_id", "turn", F.concat_ws(" ", *parts).alias("p")).select("conv_id", "turn", F.length("p").cast("long").alias("n_chars"), F.md5("p").alias("payload_md5"))
