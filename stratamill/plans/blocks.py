@@ -159,11 +159,15 @@ def a20_oof_r2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH d AS (SELECT list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]{3,}')) AS t FROM documents), s AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM d)
 SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf, round(avgdl, 6) AS avgdl FROM (SELECT term, count(*) AS df FROM (SELECT unnest(t) AS term FROM d) GROUP BY 1), s""")
 def a34_bm25_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold each term, its inverse document frequency and the mean number of a document's terms."""
-    d = table(spark, sf_dir, "documents").select(X.retrieval_tokens(F.col("text")).alias("t"))
-    whole = d.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.size("t")), F.lit(0.0)).alias("mean")).first()
-    df = d.select(F.explode("t").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    return df.select("term", "df", F.round(F.log(1 + (whole["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5)), 6).alias("idf"), F.round(F.lit(whole["mean"]), 6).alias("avgdl"))
+    """Documents that hold each term, its inverse document frequency and the mean number of a document's terms.
+
+    Texts are tokenised once: the documents' numbers of terms add up to the terms' numbers of documents.
+    """
+    docs = table(spark, sf_dir, "documents")
+    n = docs.count()
+    df = cut(docs.select(F.explode(X.retrieval_tokens(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df")))
+    mean = (df.agg(F.sum("df")).first()[0] or 0) / max(n, 1)
+    return df.select("term", "df", F.round(F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)), 6).alias("idf"), F.round(F.lit(mean), 6).alias("avgdl"))
 
 
 #: Weights of a Gaussian of one row's width, four rows to either side.
