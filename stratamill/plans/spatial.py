@@ -72,9 +72,7 @@ reach(id, c) AS (SELECT id, id FROM p UNION SELECT e.b, reach.c FROM reach JOIN
 SELECT id AS vec_id, min(c) AS component FROM reach GROUP BY 1""")
 def o6_equality_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of points that chains of close partners join."""
-    all_ = points(spark, sf_dir)
-    edges = spatial.radius_join(all_, all_, CLASS_RADIUS).filter("a < b")
-    return spatial.components(all_, edges).select(F.col("id").alias("vec_id"), "component")
+    return spatial.classes(points(spark, sf_dir), CLASS_RADIUS).select(F.col("id").alias("vec_id"), "component")
 
 
 @query(f"SELECT floor(x / 0.1)::BIGINT AS cx, floor(y / 0.1)::BIGINT AS cy, count(*) AS n, round(avg(x), 6) AS x, round(avg(y), 6) AS y FROM {P} GROUP BY 1, 2")
